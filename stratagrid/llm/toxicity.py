@@ -24,7 +24,7 @@ from .common import holdout, shared_dir, slices
 
 MOST_POSITIVE, MOST_UNLABELLED = 4000, 8000
 #: Words of the model at most, and least sampled documents that a word is in.
-WORDS, LEAST_DOCS = 4096, 4
+WORDS, LEAST_DOCS = 128, 4
 #: Longest word that counts, in characters; longer runs are no words.
 WORD_CHARS = 40
 #: A text whose score is at least this counts as toxic.
@@ -36,7 +36,7 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
-def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
+def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative PU risk with logistic loss (Adam, mini-batches)."""
     rng, d = np.random.default_rng(seed), positive.shape[1]
     w, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
@@ -57,6 +57,20 @@ def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     return w[:-1], float(w[-1])
 
 
+def settle(scores: np.ndarray, prior: float) -> float:
+    """Shift of the log-odds after which the class prior's share of unlabelled texts reaches THRESHOLD.
+
+    The cut lies in the widest gap between neighbouring scores around that share.
+    """
+    ranked, n = np.sort(scores)[::-1], len(scores)
+    lo, hi = max(0, int(n * prior * 0.7) - 1), min(n - 1, int(n * prior * 1.3) + 2)
+    near = ranked[lo : hi + 1]
+    if len(near) < 2:
+        return 0.0
+    at = int(np.argmax(near[:-1] - near[1:]))
+    return float(np.log(THRESHOLD / (1 - THRESHOLD)) - (near[at] + near[at + 1]) / 2)
+
+
 def _sampled(docs: DataFrame, keys: DataFrame) -> list[set[str]]:
     """Distinct words of the documents whose ids are in keys, a bounded sample."""
 
@@ -115,7 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
             x[i, [column[w] for w in found if w in column]] = 1
         return x
 
-    weights, bias = nnpu(matrix(pos), matrix(unl), prior)
+    unlabelled = matrix(unl)
+    weights, bias = nnpu(matrix(pos), unlabelled, prior)
+    bias += settle(unlabelled @ weights + bias, prior)
     return ToxicModel({w: float(weights[i]) for w, i in column.items() if abs(weights[i]) > 1e-3}, bias)
 
 
