@@ -15,7 +15,7 @@ import base64
 import functools
 import hashlib
 import heapq
-from array import array
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +27,7 @@ from .common import shared_dir, slices
 #: Ranks of one lower word of the bitmap.
 WORD = 256
 #: Pre-tokens that a worker remembers, and the longest of them.
-MEMO, MEMO_CHARS = 300_000, 64
+MEMO, MEMO_CHARS = 1_000_000, 64
 CODE_SCHEMA = "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"
 
 
@@ -49,7 +49,7 @@ class ByteBpe:
             for cut in range(1, len(token)):
                 if (a := ranks.get(token[:cut])) is not None and (b := ranks.get(token[cut:])) is not None:
                     self.merged[a, b] = rank
-        self.memo: dict[str, list[int]] = {}
+        self.memo = Memo(self)
 
     def encode_word(self, word: bytes) -> list[int]:
         """Ids of one pre-token: always the pair of least rank merges, the leftmost of equals."""
@@ -112,22 +112,29 @@ class ByteBpe:
                         upper |= 1 << w
         return [p for p in part if p >= 0]
 
-    def encode(self, text: str) -> array:
-        memo, ids = self.memo, array("I")
-        extend, known = ids.extend, memo.get
-        for word in self.words(text):
-            got = known(word)
-            if got is None:
-                got = self.encode_word(word.encode())
-                if len(word) <= MEMO_CHARS:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[word] = got
-            extend(got)
-        return ids
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        return b"".join(map(self.memo.__getitem__, self.words(text)))
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))
+
+
+class Memo(dict):
+    """Ids of pre-tokens, worked out when first asked for; long ones aren't kept."""
+
+    def __init__(self, coder: ByteBpe):
+        super().__init__()
+        self.coder = coder
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.coder.encode_word(word.encode())
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= MEMO_CHARS:
+            self[word] = packed
+        return packed
 
 
 @functools.lru_cache(maxsize=2)
@@ -153,11 +160,10 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
         for batch in slices(batches, "text", 4 << 20):
             counts, raw, sha, back = [], [], [], []
             for text in batch.column("text").to_pylist():
-                ids = coder.encode(text or "")
-                counts.append(len(ids))
-                data = ids.tobytes()
+                data = coder.encode(text or "")
+                counts.append(len(data) // 4)
                 sha.append(hashlib.sha256(data).hexdigest())
-                back.append(hashlib.sha256(coder.decode(ids)).hexdigest())
+                back.append(hashlib.sha256(coder.decode(data)).hexdigest())
                 if with_ids:
                     raw.append(data)
             columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64())}
