@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, langid, shard, simhash, toxicity
+from . import bpe, decontaminate, exact, langid, shard, simhash, toxicity
 from .common import holdout, table
 
 
@@ -40,6 +40,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(docs, langid.train(docs))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, distance) of each benchmark item that a document holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.matched(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") > 0)
+    return found.select("doc_id", F.inline("leaks")).select("doc_id", "item_id", "distance")
+
+
 OP5_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
      r AS (SELECT doc_id, sha256(norm) AS text_sha256, min(doc_id) OVER (PARTITION BY norm) AS keep_id,
@@ -49,7 +56,7 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, k = 1 AS kept,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_exact_dedup": op5_exact_dedup, "op8_language_id": op8_language_id}
+    return {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_exact_dedup": op5_exact_dedup, "op8_language_id": op8_language_id, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
