@@ -12,7 +12,6 @@ words are drawn on the executors. Scoring reads every whole text where it lies,
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,8 +70,8 @@ def settle(scores: np.ndarray, prior: float) -> float:
     return float(np.log(THRESHOLD / (1 - THRESHOLD)) - (near[at] + near[at + 1]) / 2)
 
 
-def _sampled(docs: DataFrame, keys: DataFrame) -> list[set[str]]:
-    """Distinct words of the documents whose ids are in keys, a bounded sample."""
+def _sampled(docs: DataFrame, keys: DataFrame, numbers: dict[str, int]) -> list[np.ndarray]:
+    """Numbers of the distinct words of the documents whose ids are in keys, a bounded sample. New words get new numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -80,7 +79,8 @@ def _sampled(docs: DataFrame, keys: DataFrame) -> list[set[str]]:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "words": pa.array([" ".join(x) for x in found], pa.string())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(keys), "doc_id", "left_semi").mapInArrow(run, "doc_id long, words string")
-    return [set(r["words"].split(" ")) - {""} for r in sorted(rows.toLocalIterator(), key=lambda r: (r["doc_id"], r["words"]))]
+    found = [(r["doc_id"], np.array([numbers.setdefault(w, len(numbers)) for w in r["words"].split(" ") if w], np.int32)) for r in rows.toLocalIterator()]
+    return [words for _, words in sorted(found, key=lambda x: (x[0], len(x[1])))]
 
 
 class ToxicModel:
@@ -107,32 +107,34 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     pos_keys = usable.where("toxic = 1").where(below(most_positive / positives, 1)).select("doc_id").distinct()
     total = docs.count()
     unl_keys = docs.where(~holdout()).select(F.col("doc_id").cast("long").alias("doc_id")).where(below(most_unlabelled / max(1, total) * 4 / 3, 2)).distinct()
-    pos, unl = _sampled(docs, pos_keys), _sampled(docs, unl_keys)
+    numbers: dict[str, int] = {}
+    pos, unl = _sampled(docs, pos_keys, numbers), _sampled(docs, unl_keys, numbers)
     if not pos or not unl:
         return ToxicModel({}, -30.0)
-    in_pos, in_unl = Counter(w for x in pos for w in x), Counter(w for x in unl for w in x)
-    # words that tell the samples apart most, by the two-proportion z statistic
     a, b = len(pos), len(unl)
-    scores = {}
-    for word, k in in_pos.items():
-        if k + (c := in_unl.get(word, 0)) >= LEAST_DOCS:
-            pooled = (k + c) / (a + b)
-            scores[word] = abs(k / a - c / b) / np.sqrt(max(pooled * (1 - pooled), 1e-9) * (1 / a + 1 / b))
-    vocabulary = sorted(sorted(scores), key=lambda w: -scores[w])[:WORDS]
-    if not vocabulary:
+    k, c = (np.bincount(np.concatenate(x), minlength=len(numbers)) for x in (pos, unl))
+    # words that tell the samples apart most, by the two-proportion z statistic; ties by the word
+    pooled = (k + c) / (a + b)
+    z = np.abs(k / a - c / b) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / a + 1 / b))
+    fits = np.flatnonzero((k > 0) & (k + c >= LEAST_DOCS))
+    names = list(numbers)
+    chosen = sorted(fits.tolist(), key=lambda w: (-z[w], names[w]))[:WORDS]
+    if not chosen:
         return ToxicModel({}, float(np.log(prior / (1 - prior))))
-    column = {w: i for i, w in enumerate(vocabulary)}
+    column = np.full(len(numbers), -1)
+    column[chosen] = np.arange(len(chosen))
 
-    def matrix(sample: list[set[str]]) -> np.ndarray:
-        x = np.zeros((len(sample), len(vocabulary)), np.float32)
+    def matrix(sample: list[np.ndarray]) -> np.ndarray:
+        x = np.zeros((len(sample), len(chosen)), np.float32)
         for i, found in enumerate(sample):
-            x[i, [column[w] for w in found if w in column]] = 1
+            at = column[found]
+            x[i, at[at >= 0]] = 1
         return x
 
     unlabelled = matrix(unl)
     weights, bias = nnpu(matrix(pos), unlabelled, prior)
     bias += settle(unlabelled @ weights + bias, prior)
-    return ToxicModel({w: float(weights[i]) for w, i in column.items() if abs(weights[i]) > 1e-3}, bias)
+    return ToxicModel({names[w]: float(weights[i]) for i, w in enumerate(chosen) if abs(weights[i]) > 1e-3}, bias)
 
 
 def scored(docs: DataFrame, model: ToxicModel) -> DataFrame:
