@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact, langid, shard, simhash, toxicity, warc
+from . import bpe, decontaminate, exact, langid, shard, simhash, tokens, toxicity, warc
 from .common import Scratch, holdout, table
 
 
@@ -35,6 +35,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = Scratch(spark, "ids").path("files")
+    files = tokens.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    docs = tokens.read_tokens(spark, path).join(files.select("file", "start"), "file")
+    return docs.select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predicted(docs, langid.train(docs))
@@ -70,7 +79,7 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, k = 1 AS kept,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_exact_dedup": op5_exact_dedup, "op8_language_id": op8_language_id, "op9_warc": op9_warc, "op10_decontamination": op10_decontamination}
+    return {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_exact_dedup": op5_exact_dedup, "op6_token_ids": op6_token_ids, "op8_language_id": op8_language_id, "op9_warc": op9_warc, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
