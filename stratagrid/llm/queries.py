@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact, langid, shard, simhash, tokens, toxicity, warc
+from . import bpe, decontaminate, exact, langid, shard, simhash, suffix, tokens, toxicity, warc
 from .common import Scratch, holdout, table
 
 
@@ -44,6 +44,10 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(table(spark, sf_dir, "documents"), least=400)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predicted(docs, langid.train(docs))
@@ -79,7 +83,7 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, k = 1 AS kept,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_exact_dedup": op5_exact_dedup, "op6_token_ids": op6_token_ids, "op8_language_id": op8_language_id, "op9_warc": op9_warc, "op10_decontamination": op10_decontamination}
+    return {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_exact_dedup": op5_exact_dedup, "op6_token_ids": op6_token_ids, "op7_suffix_dedup": op7_suffix_dedup, "op8_language_id": op8_language_id, "op9_warc": op9_warc, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
