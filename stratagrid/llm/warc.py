@@ -151,15 +151,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """
     shared_dir(spark)
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch], segmented: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive in batch.column("content"):
                 rows = []
                 for h, block in parse(gzip.decompress(archive.as_py())):
+                    if ("warc-segment-number" in h) is not segmented:
+                        continue
                     own = h.get("warc-segment-origin-id", h["warc-record-id"])
                     digest = h["warc-payload-digest"].partition(":")[2]
                     total = h.get("warc-segment-total-length") or (h.get("x-payload-length") if h["warc-type"] == "revisit" else None) or (str(len(block)) if "warc-segment-number" not in h else None)
                     rows.append((own, int(h.get("warc-segment-number", 1)), total and int(total), h["warc-type"], int(h["x-page-id"]) if h["x-page-id"] else None, h["warc-target-uri"], digest, int(h["x-refers-to-page"]) if h.get("x-refers-to-page") else None, block))
+                if not rows:
+                    continue
                 types = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in PART_SCHEMA.split(", ")])
 
@@ -188,10 +192,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content")
-    seen = files.mapInArrow(parts, PART_SCHEMA)
-    # an origin's segments: as many as one page has
+    alone = files.mapInArrow(lambda batches: parts(batches, False), PART_SCHEMA).select("origin", "total", "kind", "page_id", "url", "digest", "refers_to", F.array("number").alias("numbers"), F.array("block").alias("blocks"))
+    seen = files.mapInArrow(lambda batches: parts(batches, True), PART_SCHEMA)
+    # an origin's segments: as many as one page has; records that are whole aren't shuffled
     joined = seen.groupBy("origin").agg(
         F.max("total").alias("total"), F.max_by("kind", -F.col("number")).alias("kind"), F.max("page_id").alias("page_id"), F.max("url").alias("url"), F.max("digest").alias("digest"), F.max("refers_to").alias("refers_to"),
         F.array_sort(F.collect_list(F.struct("number", "block"))).alias("segments"),
     ).select("origin", "total", "kind", "page_id", "url", "digest", "refers_to", F.col("segments.number").alias("numbers"), F.col("segments.block").alias("blocks"))
-    return joined.mapInArrow(whole, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return alone.union(joined).mapInArrow(whole, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
