@@ -47,7 +47,7 @@ class Scratch:
         hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds about `most` bytes of the column at most, one row at least."""
     for batch in batches:
         if (batch.num_rows <= 1) or batch.column(column).nbytes <= most:
@@ -62,3 +62,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYT
 def holdout(column: str = "doc_id"):
     """crc32 of the id as text, mod 4, is 2 (a null id counts as an empty text)."""
     return (F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 4) == 2
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it if df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import shared_dir, slices
+from .common import fresh, shared_dir, slices
 
 ERROR_SHARE = 0.05
 #: Items with fewer characters after normalising don't count as passages: they would hit ordinary text.
@@ -114,8 +114,8 @@ def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "te
         yield block
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, share: float = ERROR_SHARE, text_col: str = "text") -> DataFrame:
-    """docs with a column `leaks`: an array of (item_id, distance, end) for each item that a text holds.
+def matched(docs: DataFrame, benchmark: DataFrame, share: float = ERROR_SHARE, text_col: str = "text", name: str = "leaks") -> DataFrame:
+    """docs with a column of that name, which docs mustn't have yet: (item_id, distance, end) for each item that a text holds.
 
     Null and empty texts hold none, an empty benchmark leaves all arrays empty, null or short items (under
     LEAST_CHARS) match nothing; repeated items each count. Distances are in characters of the normalised texts,
@@ -124,17 +124,18 @@ def matched(docs: DataFrame, benchmark: DataFrame, share: float = ERROR_SHARE, t
     shared_dir(docs.sparkSession)
     leak = StructType([StructField("item_id", LongType()), StructField("distance", LongType()), StructField("end", LongType())])
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int64()), ("end", pa.int64())]))
-    columns = docs.columns
-    out = docs.withColumns({"leaks": F.array().cast(ArrayType(leak)), "plain_text": plain(F.col(text_col))})
+    n, work = len(docs.columns), fresh(docs.withColumn(name, F.lit(0)), "plain_text")
+    out = docs.withColumns({name: F.array().cast(ArrayType(leak)), work: plain(F.col(text_col))})
+    schema = StructType([*docs.schema.fields, StructField(name, ArrayType(leak)), StructField(work, StringType())])
     for block in blocks_of(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)  # BLOCK_CHARS characters at most
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, share)
-            for batch in slices(batches, "plain_text"):
-                found = [[{"item_id": i, "distance": d, "end": e} for i, d, e in matcher.find(t)] for t in batch.column("plain_text").to_pylist()]
-                leaks = [[*a, *b] for a, b in zip(batch.column("leaks").to_pylist(), found, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(leaks, kind), batch.column("plain_text")], names=[*columns, "leaks", "plain_text"])
+            for batch in slices(batches, n + 1):
+                found = [[{"item_id": i, "distance": d, "end": e} for i, d, e in matcher.find(t)] for t in batch.column(n + 1).to_pylist()]
+                leaks = [[*a, *b] for a, b in zip(batch.column(n).to_pylist(), found, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(leaks, kind), batch.column(n + 1)], names=schema.names)
 
-        out = out.mapInArrow(run, StructType([*docs.schema.fields, StructField("leaks", ArrayType(leak)), StructField("plain_text", StringType())]))
-    return out.drop("plain_text")
+        out = out.mapInArrow(run, schema)
+    return out.drop(work)

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import holdout, shared_dir, slices
 
@@ -137,18 +138,19 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     return ToxicModel({names[w]: float(weights[i]) for i, w in enumerate(chosen) if abs(weights[i]) > 1e-3}, bias)
 
 
-def scored(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """docs with a column `score`, the probability that labels.toxic would be 1. Null or empty texts have a score too."""
+def scored(docs: DataFrame, model: ToxicModel, name: str = "toxic_score") -> DataFrame:
+    """docs with a column of that name, which docs mustn't have yet: the probability that labels.toxic would be 1.
+
+    Null and empty texts have the score of a text without words. Rows keep their columns and place.
+    """
     shared_dir(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # WORDS entries at most
-    columns = docs.columns
+    columns, text_at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = ToxicModel(*shared.value)
-        for batch in slices(batches, "text"):
-            score = pa.array([own.score(t) for t in batch.column("text").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*columns, "toxic_score"])
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
+        for batch in slices(batches, text_at):
+            score = pa.array([own.score(t) for t in batch.column(text_at).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*columns, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("toxic_score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
