@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, shared_dir, slices
 
 SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES = 16_384, 4_096, 16 << 20
+#: Leading part of the archives' names.
+WHOLE, SEGMENTS = "pages", "segments"
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 PART_SCHEMA = "origin string, number int, total long, kind string, page_id long, url string, digest string, refers_to long, block binary"
@@ -107,36 +109,42 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFra
     sizes = F.octet_length("payload")
     first = rows.where(sizes >= least_bytes).groupBy("sha").agg(F.min(F.struct("page_id", "number")).alias("first"), F.count("*").alias("n")).where("n > 1")
     named = rows.join(first.select(F.col("sha").alias("copy"), "first"), (F.col("sha") == F.col("copy")) & (sizes >= least_bytes), "left")
-    named = named.select("page_id", "url", "payload", "number", "first.page_id", F.col("first.number").alias("first_number")).toDF("page_id", "url", "payload", "number", "first_id", "first_number")
+    named = named.select("page_id", "url", "payload", "sha", "number", F.col("first.page_id").alias("first_id"), F.col("first.number").alias("first_number"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyspark
 
-        part, k, held, raw, n, done = pyspark.TaskContext.get().partitionId(), 0, bytearray(), 0, 0, []
+        part, done = pyspark.TaskContext.get().partitionId(), []
         target, folder = fs.FileSystem.from_uri(path)
         target.create_dir(folder, recursive=True)
+        # whole records and segments go to archives of their own, so that reading shuffles only the latter
+        held = {kind: [bytearray(), 0, 0, 0] for kind in (WHOLE, SEGMENTS)}  # bytes, size before compression, records, archive's number
 
-        def close() -> None:
-            nonlocal k, n, raw
-            name = f"{folder}/pages-{part:06d}-{k:04d}.warc.gz"
-            attempt = f"{folder}/.{part}-{k}-{pyspark.TaskContext.get().taskAttemptId()}"
+        def close(kind: str) -> None:
+            data, _, n, k = held[kind]
+            attempt = f"{folder}/.{kind}-{part}-{k}-{pyspark.TaskContext.get().taskAttemptId()}"
             with target.open_output_stream(attempt) as out:
-                out.write(bytes(held))
-            target.move(attempt, name)
+                out.write(bytes(data))
+            target.move(attempt, name := f"{folder}/{kind}-{part:06d}-{k:04d}.warc.gz")
             done.append((name, n))
-            held.clear()
-            k, n, raw = k + 1, 0, 0
+            held[kind] = [bytearray(), 0, 0, k + 1]
 
         for batch in slices(batches, "payload"):
             for row in batch.to_pylist():
                 copy = row["first_number"] is not None and row["first_number"] != row["number"]
-                for r in page_records(row["number"], row["page_id"], row["url"], row["payload"], digest_of(row["payload"]), row["first_id"] if copy else None, row["first_number"] if copy else None):
-                    held += gzip.compress(r, 1, mtime=0)
-                    n, raw = n + 1, raw + len(r)
-                    if raw >= ARCHIVE_BYTES:  # the next segment may go to another archive
-                        close()
-        if n:
-            close()
+                digest = base64.b32encode(bytes.fromhex(row["sha"])).decode()
+                records = page_records(row["number"], row["page_id"], row["url"], row["payload"], digest, row["first_id"] if copy else None, row["first_number"] if copy else None)
+                kind = SEGMENTS if len(records) > 1 else WHOLE
+                for r in records:
+                    own = held[kind]
+                    own[0] += gzip.compress(r, 1, mtime=0)
+                    own[1] += len(r)
+                    own[2] += 1
+                    if own[1] >= ARCHIVE_BYTES:  # the next segment may go to another archive
+                        close(kind)
+        for kind in (WHOLE, SEGMENTS):
+            if held[kind][2]:
+                close(kind)
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["archive", "records"])
 
     written = scratch.table(named.mapInArrow(run, "archive string, records long"), "written")
@@ -144,9 +152,11 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFra
     return written
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, whole_in: str = f"{WHOLE}-*.warc.gz", segments_in: str = f"{SEGMENTS}-*.warc.gz") -> DataFrame:
     """A row for each page of all archives in the folder: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits).
 
+    whole_in and segments_in name the archives that hold records without and with segment numbers. Both may be the
+    same pattern, for archives that hold both kinds; they are then read twice.
     Fails where a segment is missing, where the total length or the payload's digest differs from the record's.
     """
     shared_dir(spark)
@@ -157,7 +167,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 rows = []
                 for h, block in parse(gzip.decompress(archive.as_py())):
                     if ("warc-segment-number" in h) is not segmented:
-                        continue
+                        if whole_in == segments_in:
+                            continue
+                        raise ValueError(f"{h['warc-record-id']}: not the kind of record that this archive's name stands for")
                     own = h.get("warc-segment-origin-id", h["warc-record-id"])
                     digest = h["warc-payload-digest"].partition(":")[2]
                     total = h.get("warc-segment-total-length") or (h.get("x-payload-length") if h["warc-type"] == "revisit" else None) or (str(len(block)) if "warc-segment-number" not in h else None)
@@ -191,9 +203,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"],
             )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content")
-    alone = files.mapInArrow(lambda batches: parts(batches, False), PART_SCHEMA).select("origin", "total", "kind", "page_id", "url", "digest", "refers_to", F.array("number").alias("numbers"), F.array("block").alias("blocks"))
-    seen = files.mapInArrow(lambda batches: parts(batches, True), PART_SCHEMA)
+    files = lambda names: spark.read.format("binaryFile").option("pathGlobFilter", names).load(path).select("content")
+    alone = files(whole_in).mapInArrow(lambda batches: parts(batches, False), PART_SCHEMA).select("origin", "total", "kind", "page_id", "url", "digest", "refers_to", F.array("number").alias("numbers"), F.array("block").alias("blocks"))
+    seen = files(segments_in).mapInArrow(lambda batches: parts(batches, True), PART_SCHEMA)
     # an origin's segments: as many as one page has; records that are whole aren't shuffled
     joined = seen.groupBy("origin").agg(
         F.max("total").alias("total"), F.max_by("kind", -F.col("number")).alias("kind"), F.max("page_id").alias("page_id"), F.max("url").alias("url"), F.max("digest").alias("digest"), F.max("refers_to").alias("refers_to"),

@@ -403,6 +403,9 @@ def test_archives_round_trip(spark):
             want[i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "revisit" if k else "response", ids[0] if k else None] += 1
     assert collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
     assert all((r.payload is None) == (r.record_type == "revisit") for r in got)
+    assert warc.read_archives(spark, path, "*.warc.gz", "*.warc.gz").count() == len(rows)
+    with pytest.raises(Exception, match="not the kind"):
+        warc.read_archives(spark, path, "*.warc.gz").count()
 
 
 def test_small_payloads_are_all_responses(spark):
