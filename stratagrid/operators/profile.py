@@ -50,8 +50,9 @@ def histogram(df: DataFrame, variable: str, bins: int = 50) -> DataFrame:
     """(bin, low, n): equal bins from the least to the greatest value, which the last one includes."""
     v = F.col(variable).cast("double")
     edge = df.agg(F.min(v).alias("_a"), F.max(v).alias("_b"))
-    at = F.least(F.floor((v - F.col("_a")) / F.nullif((F.col("_b") - F.col("_a")) / bins, F.lit(0.0))), F.lit(bins - 1))
-    made = df.where(v.isNotNull()).crossJoin(F.broadcast(edge)).groupBy(F.coalesce(at, F.lit(0)).cast("int").alias("bin"), "_a", "_b").agg(F.count("*").alias("n"))
+    step = F.nullif((F.col("_b") - F.col("_a")) / bins, F.lit(0.0))  # NULL where all values are equal: one bin
+    at = F.least(F.coalesce(F.floor((v - F.col("_a")) / step), F.lit(0)), F.lit(bins - 1))
+    made = df.where(v.isNotNull()).crossJoin(F.broadcast(edge)).groupBy(at.cast("int").alias("bin"), "_a", "_b").agg(F.count("*").alias("n"))
     return made.select("bin", (F.col("_a") + F.col("bin") * (F.col("_b") - F.col("_a")) / bins).alias("low"), "n")
 
 
