@@ -12,6 +12,8 @@ thousand. Learning takes a bounded sample of documents (SAMPLE_DOCS, by a hash o
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +27,8 @@ SAMPLE_DOCS = 6000
 SWITCH = 6.0
 #: Size of the hashed table of character n-grams, and the orders of these.
 GRAMS, ORDERS = 1 << 15, (1, 2, 3)
-#: Longest word that is scored by its n-grams in full; of a longer one, its n-grams count all the same but it isn't remembered.
-MEMO_CHARS, MEMO = 40, 400_000
+#: Scores of words (one for each language) that a worker remembers.
+MEMO_SCORES = 4_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 #: First and last code point of the letters of scripts, from the Unicode block chart.
 SCRIPTS = {
@@ -43,8 +45,6 @@ def script_of(word: str) -> str:
 
 
 def grams_of(word: str) -> list[int]:
-    import zlib
-
     padded = f"^{word}$".encode()
     return [zlib.crc32(padded[i : i + n]) % GRAMS for n in ORDERS for i in range(len(padded) - n + 1)]
 
@@ -73,7 +73,7 @@ class LangModel:
 
     def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
         """Of each text: (language, words, letters) of each span, in order."""
-        if len(self.rows) > MEMO:
+        if len(self.rows) * len(self.langs) > MEMO_SCORES:
             self.rows, self.scores = {}, self.scores[:0]
         found = [_WORD.findall((t or "").lower()) for t in texts]
         if fresh := sorted({w for words in found for w in words} - self.rows.keys()):
@@ -143,12 +143,17 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, switch: float = SWITC
         tables: dict[str, np.ndarray] = {}
         letters: dict[tuple[str, str], int] = {}
         for batch in slices(batches, "text"):
+            words: dict[str, Counter] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                table = tables.setdefault(lang, np.zeros(GRAMS, np.int64))
-                for word in _WORD.findall(text.lower()):
-                    np.add.at(table, grams_of(word), 1)
+                words.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
+            for lang, found in words.items():  # each different word once, by its number
+                grams = [grams_of(word) for word in found]
+                weights = np.repeat(np.fromiter(found.values(), np.int64, len(found)), [len(g) for g in grams])
+                counted = np.bincount(np.concatenate([np.zeros(0, np.int64), *map(np.array, grams)]).astype(np.int64), weights, GRAMS)
+                tables[lang] = tables.get(lang, 0) + counted.astype(np.int64)
+                for word, n in found.items():
                     key = (lang, script_of(word))
-                    letters[key] = letters.get(key, 0) + len(word)
+                    letters[key] = letters.get(key, 0) + n * len(word)
         for lang, table in tables.items():
             at = np.flatnonzero(table)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at)), "kind": pa.array(at.astype("str")), "n": pa.array(table[at], pa.int64())})

@@ -27,8 +27,8 @@ from .common import Scratch, shared_dir, slices
 MAGIC = b"STOK1\n"
 #: Ids of one file at which it is closed, and partitions' least number of rows worth a splitter.
 FILE_IDS = 6_000_000
-#: Words that a worker remembers, and the longest of them.
-MEMO, MEMO_CHARS = 800_000, 64
+#: Words and pieces that a worker remembers, and the longest of them.
+MEMO, MEMO_CHARS = 1_000_000, 64
 #: Texts of these characters alone are composed (NFC), and Python's lower case and white space are the tokenizer's.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-įı-ſ‐-‧€]*")
 
@@ -57,6 +57,12 @@ class WordCoder:
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and split is not None and split["behavior"] == "Removed" and split["invert"] and rules.get("post_processor") is None
         self.words = regex.compile(split["pattern"]["Regex"]).findall if self.by_word else None
         self.memo: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _learn(self, pieces: list[str]) -> None:
+        for p, e in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False), strict=True):
+            ids = e.ids
+            self.pieces[p] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -65,17 +71,24 @@ class WordCoder:
         rest = sorted(set(range(len(texts))) - set(plain))
         for i, e in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, "<u4").tobytes()
-        found = [self.words(texts[i].lower()) for i in plain]
+        # white space never lies within a piece, so that what it separates can be looked up as a whole
+        found = [texts[i].lower().split() for i in plain]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo = self.memo
-        fresh = list({w for words in found for w in words if w not in memo})
-        long = {}
+        if len(self.pieces) > MEMO:
+            self.pieces.clear()
+        memo, long = self.memo, {}
+        fresh = list(set().union(*found).difference(memo))
         for a in range(0, len(fresh), 20_000):
             part = fresh[a : a + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                (memo if len(w) <= MEMO_CHARS else long)[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        get = memo.__getitem__ if not long else lambda w: memo.get(w) or long[w]
+            split = [self.words(w) for w in part]
+            self._learn(list(set().union(*split).difference(self.pieces)))
+            piece = self.pieces.__getitem__
+            for w, s in zip(part, split, strict=True):
+                (memo if len(w) <= MEMO_CHARS else long)[w] = b"".join(map(piece, s))
+            for w in {w for s in split for w in s if len(w) > MEMO_CHARS}:
+                del self.pieces[w]
+        get = memo.__getitem__ if not long else lambda w: memo[w] if w in memo else long[w]
         for i, words in zip(plain, found, strict=True):
             out[i] = b"".join(map(get, words))
         return out
