@@ -1,14 +1,17 @@
 """SimHash near-dedup over vantage-point trees.
 
-Fingerprints within `radius` bits of 64 agree to radius // 2 bits in their upper or in their lower half. Each
-half has a vantage-point tree, fitted on a bounded sample: a node holds a vantage point and a distance, and
-sends a fingerprint to its inner or outer child by the half's Hamming distance to that point. By the triangle
-inequality, a fingerprint further from the border than the half's radius has no partner on the other side, so
-that only those near the border visit both. Each leaf is a shard: it holds its own fingerprints and the
-visitors whose balls cross into it, and finds their exact pairs in full 64-bit distance.
-
-Equal fingerprints are one node from the start, and a leaf gives a spanning forest of its links, never all
-pairs. Leaves that hold more than LEAF_MOST fingerprints split into blocks that are compared block by block.
+Fingerprints of 64 bits are cut into (radius + 1) // 2 parts; two fingerprints within `radius` bits agree to one
+bit in one part at least. Each part has a vantage-point tree, fitted on a bounded sample: a node holds a vantage
+point and a distance, and sends a fingerprint to its inner or outer child by the part's Hamming distance to that
+point. By the triangle inequality, a fingerprint further from the border than the part's radius has no partner on
+the other side, so that only those near the border visit both. Each leaf is a shard: it holds its own fingerprints
+and the visitors whose balls cross into it, and finds their exact pairs in full 64-bit distance.
+
+Equal fingerprints are one node from the start, and a leaf gives a least spanning forest of its links (the nearest
+pairs first), never all pairs. Leaves that hold more than LEAF_MOST fingerprints split into blocks that are
+compared block by block. Links may be verified by the Jaccard similarity of their texts' shingles. Only links of
+the forest are, so that a group of near-equal texts takes as many comparisons as it has members; where the nearest
+pair of two groups fails, a further pair of them that would pass isn't tried.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from .components import components
 SEED = 42
 #: Fingerprints of a leaf that the trees aim at, leaves of a tree at most, sampled fingerprints for each leaf, fingerprints of a block.
 LEAF_AIM, LEAVES_MOST, LEAF_SAMPLE, LEAF_MOST = 1024, 4096, 16, 8192
+#: Pairs that a leaf holds before it keeps only their spanning forest.
+PAIRS_MOST = 2_000_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -52,15 +57,16 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of each row."""
+    """doc_id, fp (the fingerprint as a signed long) and key (a hash of the text) of each row."""
     shared_dir(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             fps = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), batch.column("key")], names=["doc_id", "fp", "key"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key")).mapInArrow(run, "doc_id long, fp long, key long")
 
 
 class VantageTree:
@@ -112,28 +118,43 @@ class VantageTree:
         return np.concatenate(rows), np.concatenate(leaves)
 
 
-def forest(home: np.ndarray, visitors: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that connect whatever home x home and visitors x home pairs within the radius connect."""
-    both = np.concatenate([home, visitors])
-    root = np.arange(len(both))
-    step = max(1, (1 << 22) // max(1, len(home)))
-    for a in range(0, len(both), step):
-        near = np.bitwise_count(both[a : a + step, None] ^ home[None, :]) <= radius
-        i, j = np.nonzero(near)
-        i += a
-        keep = i != j
-        i, j = i[keep], j[keep]
-        while len(i):
-            x, y = root[i], root[j]
+def _spanning(i: np.ndarray, j: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """Indexes of pairs that form a least spanning forest by d. Each round hooks roots onto smaller ones."""
+    root, kept = np.arange(n), [np.zeros(0, np.int64)]
+    for level in np.unique(d):
+        at = np.flatnonzero(d == level)
+        while len(at):
+            x, y = root[i[at]], root[j[at]]
             apart = x != y
-            if not apart.any():
+            at, low, high = at[apart], np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+            if not len(at):
                 break
-            i, j, x, y = i[apart], j[apart], x[apart], y[apart]
-            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            order = np.lexsort((low, high))
+            first = order[np.r_[True, high[order][1:] != high[order][:-1]]]
+            kept.append(at[first])
+            root[high[first]] = low[first]
             while (jumped := root[root] != root).any():
                 root[jumped] = root[root[jumped]]
-    at = np.flatnonzero(root != np.arange(len(both)))
-    return list(zip(both[at], both[root[at]], strict=True))
+    return np.concatenate(kept)
+
+
+def forest(home: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that connect whatever home x home and visitors x home pairs within the radius connect, the nearest first."""
+    both = np.concatenate([home, visitors])
+    held, total = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))], 0
+    step = max(1, (1 << 22) // max(1, len(home)))
+    for a in range(0, len(both), step):
+        d = np.bitwise_count(both[a : a + step, None] ^ home[None, :])
+        i, j = np.nonzero(d <= radius)
+        fits = (i + a >= len(home)) | (i + a > j)  # each pair of home once
+        held.append(((i + a)[fits], j[fits], d[i[fits], j[fits]]))
+        total += len(held[-1][0])
+        if total > PAIRS_MOST or a + step >= len(both):
+            i, j, d = (np.concatenate(x) for x in zip(*held, strict=True))
+            kept = _spanning(i, j, d, len(both))
+            held, total = [(i[kept], j[kept], d[kept])], len(kept)
+    i, j, _ = held[0]
+    return both[i], both[j]
 
 
 def links(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
@@ -143,8 +164,9 @@ def links(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     leaves = int(min(LEAVES_MOST, max(1, n // LEAF_AIM)))
     sample = [r[0] for r in fps.select(F.col("fp")).orderBy(F.xxhash64("fp"), "fp").limit(leaves * LEAF_SAMPLE).collect()]  # bounded by LEAVES_MOST
     sample = np.array(sample, np.int64).view(np.uint64)
-    halves = [0xFFFFFFFF << 32, 0xFFFFFFFF]
-    trees = [VantageTree(mask, radius // 2, sample, leaves, 11 + k) for k, mask in enumerate(halves)]
+    parts = max(1, (radius + 1) // 2)
+    cuts = [64 * k // parts for k in range(parts + 1)]
+    trees = [VantageTree((1 << b) - (1 << a), radius // parts, sample, leaves, 11 + k) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
     shared = spark.sparkContext.broadcast(trees)
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +174,7 @@ def links(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
             at = batch.column("fp").to_numpy().view(np.uint64)
             for k, tree in enumerate(shared.value):
                 leaf, count = np.unique(tree.route(at, 0)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf * 2 + k, pa.int64()), pa.array(count, pa.int64())], names=["leaf", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(leaf * parts + k, pa.int64()), pa.array(count, pa.int64())], names=["leaf", "n"])
 
     held = fps.mapInArrow(homes, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") > LEAF_MOST).collect()  # a row for a leaf at most
     blocks = spark.sparkContext.broadcast({r["leaf"]: -(-r["n"] // LEAF_MOST) for r in held})
@@ -167,10 +189,10 @@ def links(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
                 row, leaf = tree.route(at, tree.radius)
                 # of two leaves, the fingerprint of the lower one visits the higher one
                 row, leaf = row[leaf >= own[row]], leaf[leaf >= own[row]]
-                cell, fp, home = (leaf * 2 + k) << 20, at[row], leaf == own[row]
+                cell, fp, home = (leaf * parts + k) << 20, at[row], leaf == own[row]
                 yield _cells(cell, fp, home)
                 for split, count in blocks.value.items():
-                    if split % 2 == k:
+                    if split % parts == k:
                         here = cell == split << 20
                         part = (fp[here] % np.uint64(1000003)).astype(np.int64) % count
                         for b in range(1, count):  # block 0 has the cell's own number and was dealt above
@@ -188,25 +210,48 @@ def links(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
         count = split_by.get(cell >> 20, 1)
         if count > 1 and not cell & 0xFFFFF:  # block 0 of a split leaf: of its own fingerprints, those of block 0
             home = home & ((fp % np.uint64(1000003)).astype(np.int64) % count == 0)
-        found = forest(fp[home], fp[~home], radius)
-        a, b = (np.array([x[i] for x in found], np.uint64).view(np.int64) for i in (0, 1))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        a, b = forest(fp[home], fp[~home], radius)
+        return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
     cells = fps.mapInArrow(deal, "cell long, fp long, home boolean")
     return cells.groupBy("cell").applyInArrow(pairs, "a long, b long")
 
 
-def near_groups(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, words: int, least: float, scratch: Scratch, text_col: str = "text") -> DataFrame:
+    """Of pairs (a, b, key_a, key_b), those whose texts' sets of shingles have a Jaccard similarity of `least` or more."""
+    pairs = scratch.table(pairs, "pairs")
+    keys = pairs.select(F.col("key_a").alias("key")).union(pairs.select("key_b")).distinct()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
+
+    texts = docs.select(F.xxhash64(text).alias("key"), text.alias("text")).join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    sets = scratch.table(texts.mapInArrow(run, "key long, shingles array<long>"), "sets")
+    both = pairs.join(sets.select(F.col("key").alias("key_a"), F.col("shingles").alias("x")), "key_a").join(sets.select(F.col("key").alias("key_b"), F.col("shingles").alias("y")), "key_b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def near_groups(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", verify: tuple[int, float] | None = None) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
     Rows whose fingerprints differ in `radius` bits or fewer are linked; component_id is the smallest doc_id that
-    links reach. Null and empty texts have fingerprint zero, linked like any other. Null ids take part but name
-    no component, unless all of its ids are null. An empty table gives no rows; further columns aren't read.
+    links reach. verify, as (words, similarity), lets a link between different fingerprints stand only if the
+    sets of shingles of so many words have that Jaccard similarity; of rows with equal fingerprints, one stands
+    for all. Null and empty texts have fingerprint zero, linked like any other. Null ids take part but name no
+    component, unless all of its ids are null. An empty table gives no rows; further columns aren't read.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.table(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    nodes = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = components(links(nodes.select("fp"), radius, scratch), scratch)
+    nodes = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("key").alias("key")), "nodes")
+    edges = links(nodes.select("fp"), radius, scratch)
+    if verify:
+        end = lambda x: nodes.select(F.col("fp").alias(x), F.col("key").alias(f"key_{x}"))
+        edges = verified(edges.distinct().join(end("a"), "a").join(end("b"), "b"), docs, *verify, scratch, text_col)
+    found = components(edges, scratch)
     nodes = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     nodes = scratch.table(nodes, "components")
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))

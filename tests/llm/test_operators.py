@@ -172,9 +172,10 @@ def test_near_groups(odd_docs, odd_rows):
     assert collections.Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == want
 
 
-@pytest.mark.parametrize("aim, most", [(8, 12), (64, 8192)])
-def test_links_over_trees(spark, monkeypatch, aim, most):
+@pytest.mark.parametrize("aim, most, radius, held", [(8, 12, 3, 10), (64, 8192, 3, 2_000_000), (8, 12, 7, 50), (64, 8192, 1, 2_000_000), (8, 8192, 0, 10)])
+def test_links_over_trees(spark, monkeypatch, aim, most, radius, held):
     monkeypatch.setattr(simhash, "LEAF_AIM", aim)
+    monkeypatch.setattr(simhash, "PAIRS_MOST", held)
     monkeypatch.setattr(simhash, "LEAF_MOST", most)
     rng = np.random.default_rng(5)
     seeds = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
@@ -190,13 +191,51 @@ def test_links_over_trees(spark, monkeypatch, aim, most):
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     frame = spark.createDataFrame([(x,) for x in signed], "fp long")
     scratch = Scratch(spark, "test")
-    found = {r.node: r.component for r in components.components(simhash.links(frame, 3, scratch), scratch).collect()}
-    roots = brute_components(fps)
+    found = {r.node: r.component for r in components.components(simhash.links(frame, radius, scratch), scratch).collect()}
+    roots = brute_components(fps, radius)
     for i in range(len(fps)):
         for j in range(i):
             assert (roots[i] == roots[j]) == (found.get(signed[i], signed[i]) == found.get(signed[j], signed[j]))
 
 
+def test_verified_links(spark):
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, base = [], [[word() for _ in range(120)] for _ in range(12)]
+    for k, b in enumerate(base):
+        for edits in (0, 1, 2, 3, 30):
+            t = list(b)
+            for at in rng.sample(range(120), edits):
+                t[at] = word()
+            rows.append((100 * k + edits, " ".join(t)))
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), radius=7, verify=(5, 0.8)).collect()}
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    fps = {i: brute_fingerprint(t) for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = {i: min(j for j in sets if j // 100 == i // 100 and (i == j or j % 100 < 30 and i % 100 < 30 and (fps[i] ^ fps[j]).bit_count() <= 7 and alike(i, j))) for i in sets}
+    assert all(got[i] == i for i in sets if i % 100 == 30)
+    near = [i for i in sets if want[i] != i]
+    # no wrong link; a right one may be lost where a nearer pair of fingerprints fails
+    assert all(got[i] == i or any(j < i and alike(i, j) for j in sets if j // 100 == i // 100) for i in sets)
+    assert len(near) >= 20 and sum(got[i] != i for i in near) >= 0.85 * len(near)
+
+
+def test_forest_is_least():
+    rng = np.random.default_rng(0)
+    i, j = np.array([(a, b) for a in range(30) for b in range(a)]).T
+    d = rng.integers(0, 9, len(i))
+    kept = simhash._spanning(i, j, d, 30)
+    total, root = 0, list(range(30))
+    for k in np.argsort(d, kind="stable"):
+        a, b = root[i[k]], root[j[k]]
+        if a != b:
+            total += d[k]
+            root = [a if r == b else r for r in root]
+    assert len(kept) == 29 and d[kept].sum() == total
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500)], "a long, b long")
     found = components.components(edges, Scratch(spark, "test")).collect()

@@ -10,12 +10,23 @@ import public_tokenizers
 
 import corpus_pipeline
 from stratagrid.llm import bpe, decontaminate, queries, toxicity
+from stratagrid.llm.simhash import shingle_hashes
 
-from .test_operators import brute_components, brute_fingerprint, edit_distance_within
+from .test_operators import brute_fingerprint, edit_distance_within
 
 SF = "/root/testdata/sf0.001"
 
 
+def brute_components(n, alike):
+    root = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if root[i] != root[j] and alike(i, j):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
 def test_stages_do_what_brute_force_does(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r.doc_id: r.text for r in docs.collect()}
@@ -26,7 +37,9 @@ def test_stages_do_what_brute_force_does(spark):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", left[i] or ""), i)
     left = {i: left[i] for i in first.values()}
     ids = sorted(left)
-    roots = brute_components([brute_fingerprint(left[i]) for i in ids])
+    fps, sets = [brute_fingerprint(left[i]) for i in ids], [set(shingle_hashes(left[i], 5).tolist()) for i in ids]
+    alike = lambda a, b: fps[a] == fps[b] or (fps[a] ^ fps[b]).bit_count() <= corpus_pipeline.RADIUS and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    roots = brute_components(len(ids), alike)
     left = {i: left[i] for k, i in enumerate(ids) if roots[k] == k}
     plain = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
     items = [plain(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
