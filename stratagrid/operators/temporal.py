@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..shipping import ship
 from .axes import KEYS, Keys
 
 
@@ -68,6 +69,7 @@ def ewm(df: DataFrame, variables: list[str], spans: list[int], keys: Keys = KEYS
     time axis.
     """
     variables, spans = known(df, variables, "ewm"), _above(spans, 2, "ewm")
+    ship(df.sparkSession)
     names = [(v, s, f"{v}_ewm{s}") for v in variables for s in spans]
     need = df.select(*keys.all, *(F.col(v).cast("double").alias(v) for v in variables))
 

@@ -96,7 +96,9 @@ def register_sources(spark: SparkSession) -> list[str]:
         import xarray  # noqa: F401
     except ModuleNotFoundError:
         return []
+    from ..shipping import ship
     from .gridstore import GridStore
 
+    ship(spark)
     spark.dataSource.register(GridStore)
     return [GridStore.name()]

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..shipping import ship
+
 
 def windowed_cube(events: DataFrame, time: str, value: str, cell: list[str], window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(time, cell, v, n) of tumbling windows; rows later than the watermark are dropped. Works on tables, too."""
@@ -18,6 +20,7 @@ def windowed_cube(events: DataFrame, time: str, value: str, cell: list[str], win
 
 def stream_ewm(events: DataFrame, time: str, value: str, cell: str, span: int) -> DataFrame:
     """(cell, time, value, ewm) of a stream: each cell's last mean is its state; rows of a batch go in order of time."""
+    ship(events.sparkSession)
     a = 2.0 / (span + 1)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
