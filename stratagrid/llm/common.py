@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Most bytes of one Arrow batch that goes to a Python worker; a longer single row still goes whole.
 BATCH_BYTES = 16 << 20
 
@@ -20,6 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the cluster names none."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if not (found := spark.conf.get("spark.checkpoint.dir", None)):
         found = f"file://{tempfile.mkdtemp(prefix='stratagrid-')}"
