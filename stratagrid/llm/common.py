@@ -31,10 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one operator call in the shared folder; they cut lineage and outlive lost executors."""
+    """Tables of one operator call in the shared folder; they cut lineage and outlive lost executors.
+
+    They go when the application ends, as results read them until then.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        store, root = self._at(self.root)
+        store.mkdirs(root)
+        store.deleteOnExit(root)
+
+    def _at(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -46,8 +56,8 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Deletes a table that no later step reads."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        store, at = self._at(self.path(name))
+        store.delete(at, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str | int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
