@@ -101,7 +101,7 @@ def unit_of(name: Column) -> Column:
 
 def shown(c: Column, digits: int = 4) -> Column:
     """Fixed number of digits; `-` for NULL."""
-    return F.coalesce(F.format_string(f"%.{digits}f", c), F.lit("-"))
+    return F.when(c.isNull(), "-").otherwise(F.format_string(f"%.{digits}f", c))
 
 
 def plan_key(config: dict) -> str:

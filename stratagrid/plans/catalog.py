@@ -813,6 +813,86 @@ def windowed_cube(spark, sf):
     return shown(made(events, "ts", "value", ["event_type"]).withColumn("time", F.col("time").cast("timestamp_ntz")), "v", keep=["time", "event_type", "n"])
 
 
+@query(
+    "SELECT p_name, CASE WHEN contains(lower(x), 'temperature') OR lower(x) IN ('t2m', 'd2m', 'stl1') THEN 'K' WHEN contains(lower(x), 'humidity') THEN 'kg/kg' WHEN contains(lower(x), 'wind') OR lower(x) IN ('u10', 'v10', 'fg10', 'i10fg') THEN 'm/s'"
+    " WHEN contains(lower(x), 'geopotential') THEN 'm²/s²' ELSE '' END AS unit FROM (SELECT DISTINCT p_name, CASE p_size % 5 WHEN 0 THEN 'Temperature_850' WHEN 1 THEN 'u10' WHEN 2 THEN 'geopotential_h00' WHEN 3 THEN 'specific_humidity' ELSE p_name END AS x FROM part)"
+)
+def unit_names(spark, sf):
+    size = F.col("p_size") % 5
+    name = F.when(size == 0, "Temperature_850").when(size == 1, "u10").when(size == 2, "geopotential_h00").when(size == 3, "specific_humidity").otherwise(F.col("p_name"))
+    return table(spark, sf, "part").select("p_name", name.alias("x")).distinct().select("p_name", fn.unit_of(F.col("x")).alias("unit"))
+
+
+@query("SELECT n_nationkey, coalesce(printf('%.4f', CASE WHEN n_nationkey % 4 > 0 THEN n_nationkey / 8e0 END), '-') AS shown FROM nation")
+def formatted_report(spark, sf):
+    return table(spark, sf, "nation").select("n_nationkey", fn.shown(F.when(F.col("n_nationkey") % 4 > 0, F.col("n_nationkey") / F.lit(8.0))).alias("shown"))
+
+
+@query(f"SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY {_DRAW}) AS k, count(*) OVER () AS n FROM orders) WHERE k <= floor(n * 6e-2)")
+def sample_share(spark, sf):
+    return sampling.uniform_share(_orders_drawn(spark, sf), 0.06, "draw").select("o_orderkey")
+
+
+@query(f"WITH {CUBE} SELECT t, CAST(dense_rank() OVER (ORDER BY t) - 1 AS INT) AS t_pos FROM (SELECT DISTINCT t FROM cube)")
+def axis_positions(spark, sf):
+    return axes.axis(cube(spark, sf), "t", "t_pos")
+
+
+@query(f"WITH {CUBE}, r AS (SELECT n_nationkey, n_regionkey FROM nation) SELECT t, lat_i, lon_i, {q('v', 'v')}, n_regionkey FROM cube JOIN r ON r.n_nationkey = lat_i * 5 + lon_i")
+def static_raster(spark, sf):
+    raster = table(spark, sf, "nation").select(F.floor(F.col("n_nationkey") / 5).cast("int").alias("lat_i"), (F.col("n_nationkey") % 5).cast("int").alias("lon_i"), "n_regionkey")
+    return shown(align.common([cube(spark, sf), raster], ["lat_i", "lon_i"]), "v", keep=[*KEY, "n_regionkey"])
+
+
+@query(f"WITH {CUBE} SELECT {K}, {q(f'lag(v, 1) OVER ({CELL})', 'v_lag1')}, {q(f'v - lag(v, 2) OVER ({CELL})', 'v_diff2')} FROM cube")
+def incremental_columns(spark, sf):
+    from ..sources import add_missing
+
+    c = cube(spark, sf)
+    old = temporal.lags(c, ["v"], [1])
+    return shown(add_missing(old, ["v_lag1", "v_diff2"], KEY, lambda lacking: temporal.diffs(c, ["v"], [2])), "v_lag1", "v_diff2", keep=KEY)
+
+
+@query("SELECT c_custkey, CAST(c_acctbal AS FLOAT) AS c_acctbal FROM customer")
+def single_precision(spark, sf):
+    return reshape.single_precision(table(spark, sf, "customer").select("c_custkey", "c_acctbal"))
+
+
+@query("SELECT c.c_custkey, c.c_acctbal, s.s_acctbal, s.n AS c_acctbal_supplier FROM customer c LEFT JOIN (SELECT s_nationkey, max(s_acctbal) AS s_acctbal, CAST(count(*) AS DOUBLE) AS n FROM supplier GROUP BY 1) s ON s.s_nationkey = c.c_nationkey")
+def clashing_columns(spark, sf):
+    right = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.max("s_acctbal").alias("s_acctbal"), F.count("*").cast("double").alias("c_acctbal"))
+    return reshape.add_columns(table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), right, ["c_nationkey"], "supplier").drop("c_nationkey")
+
+
+def _near_sql_polygons() -> str:
+    radius = "6378137e0"
+    x, y = (lambda c: f"({radius} * radians({c}))"), (lambda c: f"({radius} * ln(tan(pi() / 4 + radians({c}) / 2)))")
+    edge = f"SELECT name, {x('x1')} AS ax, {y('y1')} AS ay, {x('x2')} AS bx, {y('y2')} AS by_ FROM e"
+    t = "least(greatest(((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)), 0), 1)"
+    return (
+        f"{_HITS}, m AS ({edge}), p AS (SELECT s_suppkey, {x('x')} AS px, {y('y')} AS py FROM pts),"
+        f" d AS (SELECT s_suppkey, name, min(sqrt(pow(px - ax - {t} * (bx - ax), 2) + pow(py - ay - {t} * (by_ - ay), 2))) AS gap FROM p CROSS JOIN m GROUP BY 1, 2),"
+        " n AS (SELECT d.s_suppkey, avg(CASE d.name WHEN 'a' THEN 4e0 ELSE 8e0 END) AS weight FROM d LEFT JOIN h ON h.s_suppkey = d.s_suppkey AND h.name = d.name WHERE gap <= 150000 OR h.name IS NOT NULL GROUP BY 1)"
+        " SELECT pts.s_suppkey, n.weight FROM pts LEFT JOIN n ON n.s_suppkey = pts.s_suppkey"
+    )
+
+
+@query(_near_sql_polygons())
+def polygon_near(spark, sf):
+    weighted = _polygons(spark).withColumn("weight", F.when(F.col("name") == "a", 4.0).otherwise(8.0))
+    return land.near_polygons_mean(_points(spark, sf), weighted, "x", "y", "s_suppkey", "weight", 150_000).select("s_suppkey", "weight")
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, y, w FROM (SELECT l_orderkey, l_linenumber, 1e0 AS y, l_discount * 10 AS w FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 0e0, 1 - l_discount * 10 FROM lineitem) WHERE w > 0"
+)
+def soft_label_rows(spark, sf):
+    from ..ml import soft_rows
+
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10).alias("p"))
+    return soft_rows(rows, "p").select("l_orderkey", "l_linenumber", F.col("_label").alias("y"), F.col("_weight").alias("w"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cube with lags, differences, a smoothed mean and domain-wide statistics."""
     d = dense(spark, sf_dir)
