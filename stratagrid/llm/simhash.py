@@ -47,26 +47,39 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(SEED)), np.uint64)
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Bit set if it is set in over half of the hashes; 0 without words."""
-    hashes, ones = shingle_hashes(text, words), np.zeros(64, np.int64)
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Other hashes made of these, for the k-th fingerprint; the first one takes them as they are."""
+    if not k:
+        return hashes
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Bit set if it is set in over half of the hashes; 0 without any."""
+    ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].astype("<u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return sum(1 << int(b) for b in np.flatnonzero(2 * ones > len(hashes)))
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) and key (a hash of the text) of each row."""
+def fingerprints(docs: DataFrame, words: int = 3, prints: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, key (a hash of the text) and fp0, fp1, ... (fingerprints as signed longs) of each row."""
     shared_dir(docs.sparkSession)
+    names = [f"fp{k}" for k in range(prints)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            fps = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), batch.column("key")], names=["doc_id", "fp", "key"])
+            hashes = [shingle_hashes(t, words) for t in batch.column("text").to_pylist()]
+            fps = [np.array([fingerprint_of(_mixed(h, k)) for h in hashes], np.uint64).view(np.int64) for k in range(prints)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *map(pa.array, fps)], names=["doc_id", "key", *names])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key")).mapInArrow(run, "doc_id long, fp long, key long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
+    return rows.mapInArrow(run, "doc_id long, key long, " + ", ".join(f"{n} long" for n in names))
 
 
 class VantageTree:
@@ -218,9 +231,9 @@ def links(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, least: float, scratch: Scratch, text_col: str = "text") -> DataFrame:
-    """Of pairs (a, b, key_a, key_b), those whose texts' sets of shingles have a Jaccard similarity of `least` or more."""
+    """Of pairs (a, b) of text hashes, those whose texts' sets of shingles have a Jaccard similarity of `least` or more."""
     pairs = scratch.table(pairs, "pairs")
-    keys = pairs.select(F.col("key_a").alias("key")).union(pairs.select("key_b")).distinct()
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,30 +243,54 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, least: float, scratc
 
     texts = docs.select(F.xxhash64(text).alias("key"), text.alias("text")).join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     sets = scratch.table(texts.mapInArrow(run, "key long, shingles array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("key").alias("key_a"), F.col("shingles").alias("x")), "key_a").join(sets.select(F.col("key").alias("key_b"), F.col("shingles").alias("y")), "key_b")
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def near_groups(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", verify: tuple[int, float] | None = None) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
     Rows whose fingerprints differ in `radius` bits or fewer are linked; component_id is the smallest doc_id that
-    links reach. verify, as (words, similarity), lets a link between different fingerprints stand only if the
-    sets of shingles of so many words have that Jaccard similarity; of rows with equal fingerprints, one stands
-    for all. Null and empty texts have fingerprint zero, linked like any other. Null ids take part but name no
-    component, unless all of its ids are null. An empty table gives no rows; further columns aren't read.
+    links reach. Null and empty texts have fingerprint zero, linked like any other. Null ids take part but name
+    no component, unless all of its ids are null. An empty table gives no rows; further columns aren't read.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.table(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    nodes = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("key").alias("key")), "nodes")
-    edges = links(nodes.select("fp"), radius, scratch)
-    if verify:
-        end = lambda x: nodes.select(F.col("fp").alias(x), F.col("key").alias(f"key_{x}"))
-        edges = verified(edges.distinct().join(end("a"), "a").join(end("b"), "b"), docs, *verify, scratch, text_col)
-    found = components(edges, scratch)
-    nodes = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    nodes = scratch.table(nodes, "components")
-    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = nodes.join(least, "component").select("fp", "component_id")
+    rows = scratch.table(fingerprints(docs, words, 1, id_col, text_col).withColumnRenamed("fp0", "fp"), "fingerprints")
+    nodes = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    named = _named(nodes, "fp", links(nodes.select("fp"), radius, scratch), scratch)
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _named(nodes: DataFrame, key: str, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, component_id) of nodes (key, least): the smallest `least` of each component."""
+    found = components(edges, scratch)
+    whole = nodes.join(found.withColumnRenamed("node", key), key, "left").select(key, "least", F.coalesce("component", key).alias("component"))
+    whole = scratch.table(whole, "components")
+    least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
+    return whole.join(least, "component").select(key, "component_id")
+
+
+def near_copies(docs: DataFrame, similar: float = 0.8, shingle: int = 5, words: int = 3, radius: int = 7, prints: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, component_id; linked are texts whose sets of shingles are `similar` or more.
+
+    Candidates are texts that agree to `radius` bits in one of `prints` independent fingerprints. Each link of
+    the leaves' forests is verified in full; equal fingerprints are verified against one text of theirs. The
+    other terms are those of near_groups.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    rows = scratch.table(fingerprints(docs, words, prints, id_col, text_col), "fingerprints")
+    names = [f"fp{k}" for k in range(prints)]
+    texts = scratch.table(rows.groupBy("key").agg(F.min("doc_id").alias("least"), *(F.first(n).alias(n) for n in names)), "texts")
+    pairs = []
+    for n in names:
+        one = scratch.table(texts.groupBy(F.col(n).alias("fp")).agg(F.min("key").alias("key")), f"one-{n}")
+        near = links(one.select("fp"), radius, scratch).distinct()
+        ends = [one.select(F.col("fp").alias(x), F.col("key").alias(f"key_{x}")) for x in ("a", "b")]
+        pairs.append(near.join(ends[0], "a").join(ends[1], "b").select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")))
+        pairs.append(texts.select(F.col("key").alias("own"), F.col(n).alias("fp")).join(one, "fp").where("own <> key").select(F.col("key").alias("a"), F.col("own").alias("b")))
+    every = pairs[0]
+    for p in pairs[1:]:
+        every = every.union(p)
+    named = _named(texts.select("key", "least"), "key", verified(every.distinct(), docs, shingle, similar, scratch, text_col), scratch)
+    return rows.join(named, "key").select("doc_id", "component_id")

@@ -10,9 +10,9 @@ import public_tokenizers
 
 import corpus_pipeline
 from stratagrid.llm import bpe, decontaminate, queries, toxicity
-from stratagrid.llm.simhash import shingle_hashes
+from stratagrid.llm.simhash import _mixed, fingerprint_of, shingle_hashes
 
-from .test_operators import brute_fingerprint, edit_distance_within
+from .test_operators import edit_distance_within
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,9 +37,10 @@ def test_stages_do_what_brute_force_does(spark):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", left[i] or ""), i)
     left = {i: left[i] for i in first.values()}
     ids = sorted(left)
-    fps, sets = [brute_fingerprint(left[i]) for i in ids], [set(shingle_hashes(left[i], 5).tolist()) for i in ids]
-    alike = lambda a, b: fps[a] == fps[b] or (fps[a] ^ fps[b]).bit_count() <= corpus_pipeline.RADIUS and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-    roots = brute_components(len(ids), alike)
+    sets = [set(shingle_hashes(left[i], 5).tolist()) for i in ids]
+    prints = [[fingerprint_of(_mixed(shingle_hashes(left[i], 3), k)) for k in range(corpus_pipeline.PRINTS)] for i in ids]
+    near = lambda a, b: any((x ^ y).bit_count() <= corpus_pipeline.RADIUS for x, y in zip(prints[a], prints[b], strict=True))
+    roots = brute_components(len(ids), lambda a, b: near(a, b) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     left = {i: left[i] for k, i in enumerate(ids) if roots[k] == k}
     plain = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
     items = [plain(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
