@@ -51,10 +51,11 @@ def with_positions(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 def densify(df: DataFrame, keys: Keys = KEYS) -> DataFrame:
     """Every combination of the times, latitudes and longitudes that occur; NULL where df had no row.
 
-    The frame is the product of three axes; it is as large as the dense cube, which is what is asked for.
+    One pass finds the three axes; times are then dealt out, and each is filled up with the grid where it lies.
     """
-    parts = [df.select(k).distinct() for k in keys.all]
-    frame = parts[0].crossJoin(F.broadcast(parts[1])).crossJoin(F.broadcast(parts[2]))
+    t, i, j = keys.all
+    found = df.agg(F.collect_set(t).alias("_t"), F.collect_set(i).alias("_i"), F.collect_set(j).alias("_j"))  # as long as the axes
+    frame = found.select(F.explode("_t").alias(t), "_i", "_j").repartition(t).select(t, F.explode("_i").alias(i), "_j").select(t, i, F.explode("_j").alias(j))
     return frame.join(df, keys.all, "left")
 
 

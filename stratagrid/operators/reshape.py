@@ -22,7 +22,8 @@ def years_between(df: DataFrame, time: str, first: int, last: int) -> DataFrame:
 
 
 def of_years(df: DataFrame, time: str, years: list[int], months: list[int] | None = None) -> DataFrame:
-    df = df.where(F.year(time).isin(years))
+    """Rows of these years (and months). The years' range is a filter that reaches the scan; years in it that aren't named go after."""
+    df = years_between(df, time, min(years), max(years)).where(F.year(time).isin(years)) if years else df.where(F.lit(False))
     return df.where(F.month(time).isin(months)) if months else df
 
 
