@@ -5,7 +5,8 @@ from __future__ import annotations
 import warnings
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -66,21 +67,23 @@ def ewm(df: DataFrame, variables: list[str], spans: list[int], keys: Keys = KEYS
     """{v}_ewm{span}: exponentially weighted mean along time; NULL keeps the last mean, leading NULLs stay.
 
     The recurrence has no window form, so a cell's series goes to one grouped call; a cell is as long as the
-    time axis.
+    time axis. The other columns pass through it as they are, so that nothing is joined back.
     """
     variables, spans = known(df, variables, "ewm"), _above(spans, 2, "ewm")
-    ship(df.sparkSession)
     names = [(v, s, f"{v}_ewm{s}") for v in variables for s in spans]
-    need = df.select(*keys.all, *(F.col(v).cast("double").alias(v) for v in variables))
+    if not names:
+        return df
+    ship(df.sparkSession)
+    df = df.drop(*(n for _, _, n in names))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(keys.time)
-        return pdf[keys.all].assign(**{name: ewm_values(pdf[v].to_numpy(float), s) for v, s, name in names})
+    def run(series):  # a pa.Table in and out
+        series = series.take(pc.sort_indices(series, sort_keys=[(keys.time, "ascending")]))
+        for v, s, name in names:
+            y = ewm_values(series.column(v).cast(pa.float64()).to_numpy(), s)
+            series = series.append_column(name, pa.array(y, mask=np.isnan(y)))
+        return series
 
-    schema = StructType([*(df.schema[k] for k in keys.all), *(StructField(n, DoubleType()) for _, _, n in names)])
-    made = need.groupBy(*keys.cell).applyInPandas(run, schema)
-    made = made.select(*keys.all, *(F.when(~F.isnan(n), F.col(n)).alias(n) for _, _, n in names))
-    return df.join(made, keys.all, "left")
+    return df.groupBy(*keys.cell).applyInArrow(run, StructType([*df.schema.fields, *(StructField(n, DoubleType()) for _, _, n in names)]))
 
 
 def rolling_quantiles(df: DataFrame, variable: str, steps: int, quantiles: dict[str, float], centred: bool = False, keys: Keys = KEYS) -> DataFrame:
