@@ -73,6 +73,8 @@ def build(df: DataFrame, config: dict, time: str = "time", latitude: str = "lati
         df = temporal.lags(df, p.get("variables", []), p.get("lags", []), keys)
     if (p := _section(config, "ewm")) is not None:
         df = temporal.ewm(df, p.get("variables", []), p.get("spans", []), keys)
+    if any(_section(config, name) is not None for name in ("spatial", "gradients")):
+        df = df.repartition(keys.time)  # rows and columns of a grid then lie together for every window below
     if (p := _section(config, "spatial")) is not None:
         df = spatial.window_stats(df, p.get("variables", []), p.get("window_sizes", []), p.get("stats", ["mean", "std"]), p.get("min_periods", 1), keys)
     if (p := _section(config, "gradients")) is not None:
