@@ -27,7 +27,7 @@ from .common import shared_dir, slices
 #: Ranks of one lower word of the bitmap.
 WORD = 256
 #: Pre-tokens that a worker remembers, and the longest of them.
-MEMO, MEMO_CHARS = 1_000_000, 64
+MEMO, MEMO_CHARS = 500_000, 64
 CODE_SCHEMA = "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"
 
 

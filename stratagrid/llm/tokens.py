@@ -28,7 +28,7 @@ MAGIC = b"STOK1\n"
 #: Ids of one file at which it is closed, and partitions' least number of rows worth a splitter.
 FILE_IDS = 6_000_000
 #: Words and pieces that a worker remembers, and the longest of them.
-MEMO, MEMO_CHARS = 1_000_000, 64
+MEMO, MEMO_CHARS = 500_000, 64
 #: Texts of these characters alone are composed (NFC), and Python's lower case and white space are the tokenizer's.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-įı-ſ‐-‧€]*")
 
