@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from .common import fresh, shared_dir, slices
 
-ERROR_SHARE = 0.05
+ERROR_SHARE = 0.08
 #: Items with fewer characters after normalising don't count as passages: they would hit ordinary text.
 LEAST_CHARS = 24
 #: Characters of the items of one block at most; one longer item is a block of its own.

@@ -506,7 +506,7 @@ def test_items_within_the_budget_are_found(spark):
     items = [(k, " ".join(word() for _ in range(30))) for k in range(12)] + [(50, None), (51, ""), (52, "short"), (None, " ".join(word() for _ in range(20)))]
     docs, want = [], set()
     for k, (i, t) in enumerate(items[:12]):
-        for edits in (0, 3, int(len(t) * 0.05), int(len(t) * 0.05) + 15):
+        for edits in (0, 3, int(len(t) * 0.07), int(len(t) * 0.08) + 15):
             s = list(t)
             for at in rng.sample(range(len(s)), edits):
                 s[at] = "z"
