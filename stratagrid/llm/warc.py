@@ -152,8 +152,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFra
     return written
 
 
-def read_archives(spark: SparkSession, path: str, whole_in: str = f"{WHOLE}-*.warc.gz", segments_in: str = f"{SEGMENTS}-*.warc.gz") -> DataFrame:
-    """A row for each page of all archives in the folder: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits).
+def read_archives(spark: SparkSession, path: str, whole_in: str = f"{WHOLE}-*.warc.gz", segments_in: str = f"{SEGMENTS}-*.warc.gz", with_payload: bool = True) -> DataFrame:
+    """A row for each page of all archives in the folder: page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload (null for revisits)].
 
     whole_in and segments_in name the archives that hold records without and with segment numbers. Both may be the
     same pattern, for archives that hold both kinds; they are then read twice.
@@ -161,54 +161,65 @@ def read_archives(spark: SparkSession, path: str, whole_in: str = f"{WHOLE}-*.wa
     """
     shared_dir(spark)
 
-    def parts(batches: Iterator[pa.RecordBatch], segmented: bool) -> Iterator[pa.RecordBatch]:
+    def records_of(archive: bytes, segmented: bool) -> Iterator[tuple]:
+        """Fields as in PART_SCHEMA."""
+        for h, block in parse(gzip.decompress(archive)):
+            if ("warc-segment-number" in h) is not segmented:
+                if whole_in == segments_in:
+                    continue
+                raise ValueError(f"{h['warc-record-id']}: not the kind of record that this archive's name stands for")
+            total = h.get("warc-segment-total-length") if segmented else h.get("x-payload-length", str(len(block))) if h["warc-type"] == "revisit" else str(len(block))
+            origin, digest = h.get("warc-segment-origin-id", h["warc-record-id"]), h["warc-payload-digest"].partition(":")[2]
+            page, refers = h["x-page-id"], h.get("x-refers-to-page")
+            yield origin, int(h.get("warc-segment-number", 1)), total and int(total), h["warc-type"], int(page) if page else None, h["warc-target-uri"], digest, int(refers) if refers else None, block
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive in batch.column("content"):
-                rows = []
-                for h, block in parse(gzip.decompress(archive.as_py())):
-                    if ("warc-segment-number" in h) is not segmented:
-                        if whole_in == segments_in:
-                            continue
-                        raise ValueError(f"{h['warc-record-id']}: not the kind of record that this archive's name stands for")
-                    own = h.get("warc-segment-origin-id", h["warc-record-id"])
-                    digest = h["warc-payload-digest"].partition(":")[2]
-                    total = h.get("warc-segment-total-length") or (h.get("x-payload-length") if h["warc-type"] == "revisit" else None) or (str(len(block)) if "warc-segment-number" not in h else None)
-                    rows.append((own, int(h.get("warc-segment-number", 1)), total and int(total), h["warc-type"], int(h["x-page-id"]) if h["x-page-id"] else None, h["warc-target-uri"], digest, int(h["x-refers-to-page"]) if h.get("x-refers-to-page") else None, block))
-                if not rows:
-                    continue
-                types = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in PART_SCHEMA.split(", ")])
+                rows = list(records_of(archive.as_py(), True))
+                if rows:
+                    types = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in PART_SCHEMA.split(", ")])
+
+    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
+
+    def rows_of(found: list[tuple]) -> pa.RecordBatch:
+        """Of (page_id, url, kind, total, digest, refers_to, numbers, blocks, origin): the pages."""
+        out: list[list] = [[] for _ in range(7)]
+        for page, url, kind, total, digest, refers, numbers, blocks, origin in found:
+            size, payload = total, None
+            if kind != "revisit":
+                block = blocks[0] if len(blocks) == 1 else b"".join(blocks)
+                if numbers != list(range(1, len(numbers) + 1)) or len(block) != total:
+                    raise ValueError(f"{origin}: segments {numbers} hold {len(block)} of {total} bytes")
+                head, _, body = block.partition(b"\r\n\r\n")
+                payload = unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
+                if (got := digest_of(payload)) != digest:
+                    raise ValueError(f"{origin}: payload digest {got}, not {digest}")
+                size = len(payload)
+            for column, value in zip(out, (page, url, size, digest, kind, refers, payload), strict=True):
+                column.append(value)
+        types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+        n = 7 if with_payload else 6
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:n], types[:n], strict=True)], names=names[:n])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "blocks"):
-            size, digests, payloads = [], [], []
-            for row in batch.select(["origin", "kind", "total", "digest", "numbers", "blocks"]).to_pylist():
-                if row["kind"] == "revisit":
-                    size.append(row["total"])
-                    digests.append(row["digest"])
-                    payloads.append(None)
-                    continue
-                block = b"".join(row["blocks"])
-                if row["numbers"] != list(range(1, len(row["numbers"]) + 1)) or len(block) != row["total"]:
-                    raise ValueError(f"{row['origin']}: segments {row['numbers']} hold {len(block)} of {row['total']} bytes")
-                head, _, body = block.partition(b"\r\n\r\n")
-                payload = unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
-                if (found := digest_of(payload)) != row["digest"]:
-                    raise ValueError(f"{row['origin']}: payload digest {found}, not {row['digest']}")
-                size.append(len(payload))
-                digests.append(found)
-                payloads.append(payload)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(size, pa.int64()), pa.array(digests, pa.string()), batch.column("kind"), batch.column("refers_to"), pa.array(payloads, pa.binary())],
-                names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"],
-            )
+            yield rows_of([(r["page_id"], r["url"], r["kind"], r["total"], r["digest"], r["refers_to"], r["numbers"], r["blocks"], r["origin"]) for r in batch.to_pylist()])
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive in batch.column("content"):
+                found = list(records_of(archive.as_py(), False))
+                for at in range(0, len(found), 500):
+                    yield rows_of([(page, url, kind, total, digest, refers, [number], [block], origin) for origin, number, total, kind, page, url, digest, refers, block in found[at : at + 500]])
 
     files = lambda names: spark.read.format("binaryFile").option("pathGlobFilter", names).load(path).select("content")
-    alone = files(whole_in).mapInArrow(lambda batches: parts(batches, False), PART_SCHEMA).select("origin", "total", "kind", "page_id", "url", "digest", "refers_to", F.array("number").alias("numbers"), F.array("block").alias("blocks"))
-    seen = files(segments_in).mapInArrow(lambda batches: parts(batches, True), PART_SCHEMA)
+    seen = files(segments_in).mapInArrow(parts, PART_SCHEMA)
     # an origin's segments: as many as one page has; records that are whole aren't shuffled
     joined = seen.groupBy("origin").agg(
         F.max("total").alias("total"), F.max_by("kind", -F.col("number")).alias("kind"), F.max("page_id").alias("page_id"), F.max("url").alias("url"), F.max("digest").alias("digest"), F.max("refers_to").alias("refers_to"),
         F.array_sort(F.collect_list(F.struct("number", "block"))).alias("segments"),
     ).select("origin", "total", "kind", "page_id", "url", "digest", "refers_to", F.col("segments.number").alias("numbers"), F.col("segments.block").alias("blocks"))
-    return alone.union(joined).mapInArrow(whole, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return files(whole_in).mapInArrow(alone, schema).union(joined.mapInArrow(whole, schema))
