@@ -27,7 +27,7 @@ from .common import shared_dir, slices
 #: Ranks of one lower word of the bitmap.
 WORD = 256
 #: Pre-tokens that a worker remembers, and the longest of them.
-MEMO, MEMO_CHARS = 500_000, 64
+MEMO, MEMO_CHARS = 700_000, 64
 CODE_SCHEMA = "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"
 
 
@@ -114,8 +114,8 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
+        if len(self.memo) > MEMO // 2:
+            self.memo.age()
         return b"".join(map(self.memo.__getitem__, self.words(text)))
 
     def decode(self, ids: bytes) -> bytes:
@@ -123,15 +123,23 @@ class ByteBpe:
 
 
 class Memo(dict):
-    """Ids of pre-tokens, worked out when first asked for; long ones aren't kept."""
+    """Ids of pre-tokens, worked out when first asked for; long ones aren't kept.
+
+    What was asked for since the last age() but one is remembered, so that frequent pre-tokens stay.
+    """
 
     def __init__(self, coder: ByteBpe):
         super().__init__()
-        self.coder = coder
+        self.coder, self.old = coder, {}
+
+    def age(self) -> None:
+        self.old = dict(self)
+        self.clear()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.coder.encode_word(word.encode())
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if (packed := self.old.get(word)) is None:
+            ids = self.coder.encode_word(word.encode())
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= MEMO_CHARS:
             self[word] = packed
         return packed
