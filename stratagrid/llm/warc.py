@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -163,7 +164,7 @@ def read_archives(spark: SparkSession, path: str, whole_in: str = f"{WHOLE}-*.wa
 
     def records_of(archive: bytes, segmented: bool) -> Iterator[tuple]:
         """Fields as in PART_SCHEMA."""
-        for h, block in parse(gzip.decompress(archive)):
+        for h, block in parse(gzip.GzipFile(fileobj=io.BytesIO(archive)).read()):  # streams; decompress() copies the rest for each member
             if ("warc-segment-number" in h) is not segmented:
                 if whole_in == segments_in:
                     continue
