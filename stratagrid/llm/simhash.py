@@ -9,9 +9,10 @@ and the visitors whose balls cross into it, and finds their exact pairs in full
 
 Equal fingerprints are one node from the start, and a leaf gives a least spanning forest of its links (the nearest
 pairs first), never all pairs. Leaves that hold more than LEAF_MOST fingerprints split into blocks that are
-compared block by block. Links may be verified by the Jaccard similarity of their texts' shingles. Only links of
-the forest are, so that a group of near-equal texts takes as many comparisons as it has members; where the nearest
-pair of two groups fails, a further pair of them that would pass isn't tried.
+compared block by block. Links may be verified by the Jaccard similarity of their texts' shingles: first those of
+the forest, so that a group of near-equal texts takes about as many comparisons as it has members. Where some fail,
+the other candidate pairs between the parts that are still apart follow, a growing share of them in each round, so
+that at the end each candidate pair was verified or lies within a part that verified links connect.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ SEED = 42
 LEAF_AIM, LEAVES_MOST, LEAF_SAMPLE, LEAF_MOST = 1024, 4096, 16, 8192
 #: Pairs that a leaf holds before it keeps only their spanning forest.
 PAIRS_MOST = 2_000_000
+#: Of the pairs within a group of candidates, the first round tries so many for a text, each later one so many times more; texts of a block.
+TRIED_FIRST, GROUP_BLOCK = 8, 2048
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -230,10 +233,8 @@ def links(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     return cells.groupBy("cell").applyInArrow(pairs, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, least: float, scratch: Scratch, text_col: str = "text") -> DataFrame:
-    """Of pairs (a, b) of text hashes, those whose texts' sets of shingles have a Jaccard similarity of `least` or more."""
-    pairs = scratch.table(pairs, "pairs")
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+def shingle_sets(keys: DataFrame, docs: DataFrame, words: int, text_col: str = "text") -> DataFrame:
+    """(key, shingles) of the texts whose hashes are in keys: the set of hashes of their shingles."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,10 +243,40 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, least: float, scratc
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
 
     texts = docs.select(F.xxhash64(text).alias("key"), text.alias("text")).join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    sets = scratch.table(texts.mapInArrow(run, "key long, shingles array<long>"), "sets")
+    return texts.mapInArrow(run, "key long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Of pairs (a, b, ...) of text hashes, those whose sets of shingles have a Jaccard similarity of `least` or more."""
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return both.where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).drop("x", "y")
+
+
+def untried(state: DataFrame, tried: DataFrame, names: list[str], radius: int, similar: float, k: int) -> DataFrame:
+    """Candidate pairs (a, b, part_a, part_b) of round k between parts of a group that are still apart, without those in tried.
+
+    state: key, n (its shingles), fingerprints, grp, members (of grp), part. A hash puts each pair into one round.
+    """
+    apart = state.groupBy("grp").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("grp")
+    rows = state.where((F.col("members") > 2) & (F.col("members") > (0 if not k else TRIED_FIRST**k))).join(apart, "grp", "left_semi")
+    count = F.ceil(F.col("members") / GROUP_BLOCK).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("key", F.lit(5)), count).cast("int"))
+    renamed = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "part", *names)]
+    left = rows.select("grp", "members", F.col("block").alias("i"), F.explode(F.sequence("block", count - 1)).alias("j"), *renamed("a"))
+    right = rows.select("grp", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), *renamed("b"))
+    at = F.pmod(F.xxhash64(F.least("key_a", "key_b"), F.greatest("key_a", "key_b")), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("members")
+    near = F.lit(False)
+    for n in names:
+        near |= F.bit_count(F.col(f"{n}_a").bitwiseXOR(F.col(f"{n}_b"))) <= radius
+    fits = (F.col("part_a") != F.col("part_b")) & ((left["i"] < left["j"]) | (F.col("key_a") < F.col("key_b"))) & near & (at < TRIED_FIRST ** (k + 1))
+    # sets of very different size can't be alike
+    fits &= F.least("n_a", "n_b") >= F.lit(similar) * F.greatest("n_a", "n_b")
+    if k:
+        fits &= at >= TRIED_FIRST**k
+    on = (left["grp"] == right["grp"]) & (left["i"] == right["i"]) & (left["j"] == right["j"])
+    found = left.join(right, on & fits).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"), "part_a", "part_b")
+    return found.join(tried, ["a", "b"], "left_anti")
 
 
 def near_groups(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,9 +305,9 @@ def _named(nodes: DataFrame, key: str, edges: DataFrame, scratch: Scratch) -> Da
 def near_copies(docs: DataFrame, similar: float = 0.8, shingle: int = 5, words: int = 3, radius: int = 7, prints: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, component_id; linked are texts whose sets of shingles are `similar` or more.
 
-    Candidates are texts that agree to `radius` bits in one of `prints` independent fingerprints. Each link of
-    the leaves' forests is verified in full; equal fingerprints are verified against one text of theirs. The
-    other terms are those of near_groups.
+    Candidates are texts that agree to `radius` bits in one of `prints` independent fingerprints. Each candidate
+    pair is verified in full, unless verified links connect its texts already. The other terms are those of
+    near_groups.
     """
     scratch = Scratch(docs.sparkSession, "near")
     rows = scratch.table(fingerprints(docs, words, prints, id_col, text_col), "fingerprints")
@@ -292,5 +323,18 @@ def near_copies(docs: DataFrame, similar: float = 0.8, shingle: int = 5, words:
     every = pairs[0]
     for p in pairs[1:]:
         every = every.union(p)
-    named = _named(texts.select("key", "least"), "key", verified(every.distinct(), docs, shingle, similar, scratch, text_col), scratch)
+    tried = scratch.table(every.distinct(), "pairs")
+    sets = scratch.table(shingle_sets(tried.select(F.col("a").alias("key")).union(tried.select("b")).distinct(), docs, shingle, text_col), "sets")
+    # groups that candidate pairs connect, and their parts that verified ones do
+    groups = components(tried, Scratch(docs.sparkSession, "near-groups")).select(F.col("node").alias("key"), F.col("component").alias("grp"))
+    parts = components(verified(tried, sets, similar), Scratch(docs.sparkSession, "near-parts")).select(F.col("node").alias("key"), F.col("component").alias("part"))
+    state = sets.select("key", F.size("shingles").alias("n")).join(texts.select("key", *names), "key").join(groups, "key").join(parts, "key", "left").withColumn("part", F.coalesce("part", "key"))
+    state = scratch.table(state.join(groups.groupBy("grp").agg(F.count("*").alias("members")), "grp"), "state0")
+    most, k = state.agg(F.coalesce(F.max("members"), F.lit(0))).first()[0], 0
+    while most > 2 and (not k or TRIED_FIRST**k < most):
+        found = verified(scratch.table(untried(state, tried, names, radius, similar, k), f"pairs{k}"), sets, similar)
+        joined = components(found.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")), Scratch(docs.sparkSession, "near-parts")).withColumnRenamed("node", "part")
+        k += 1
+        state = scratch.table(state.join(joined, "part", "left").withColumn("part", F.coalesce("component", "part")).drop("component"), f"state{k}")
+    named = _named(texts.select("key", "least"), "key", state.select(F.col("key").alias("a"), F.col("part").alias("b")), scratch)
     return rows.join(named, "key").select("doc_id", "component_id")

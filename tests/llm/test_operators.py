@@ -221,6 +221,36 @@ def test_verified_links(spark):
     assert len(near) >= 20 and sum(got[i] != i for i in near) >= 0.9 * len(near)
 
 
+@pytest.mark.parametrize("first, block", [(8, 2048), (2, 5)])
+def test_every_candidate_counts(spark, monkeypatch, first, block):
+    """Groups whose similarity scatters about the least one: as brute force over all candidate pairs."""
+    import random
+
+    monkeypatch.setattr(simhash, "TRIED_FIRST", first)
+    monkeypatch.setattr(simhash, "GROUP_BLOCK", block)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for _ in range(12):
+        base = [word() for _ in range(200)]
+        for _ in range(24):
+            t = list(base)
+            for at in rng.sample(range(200), rng.randint(2, 4)):
+                t[at] = word()
+            rows.append((len(rows), " ".join(t)))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    prints = [[simhash.fingerprint_of(simhash._mixed(simhash.shingle_hashes(t, 3), k)) for k in range(2)] for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            near = any((x ^ y).bit_count() <= 7 for x, y in zip(prints[i], prints[j], strict=True))
+            if root[i] != root[j] and near and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_near_copies_of_odd_rows(odd_docs, no_docs, odd_rows):
     got = simhash.near_copies(odd_docs).collect()
     assert len(got) == len(odd_rows)
