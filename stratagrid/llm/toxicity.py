@@ -71,6 +71,21 @@ def settle(scores: np.ndarray, prior: float) -> float:
     return float(np.log(THRESHOLD / (1 - THRESHOLD)) - (near[at] + near[at + 1]) / 2)
 
 
+def cut_of(positive: np.ndarray, negative: np.ndarray, weight: float = 1.0) -> float:
+    """Log-odds that part labelled scores at least loss: a miss costs 1 - THRESHOLD, a false alarm THRESHOLD times weight.
+
+    Of the cuts with the least loss, the middle of the widest gap; how many texts lie over it isn't bounded.
+    """
+    at = np.unique(np.concatenate([positive, negative]))
+    cuts = np.r_[at[0] - 1, (at[:-1] + at[1:]) / 2, at[-1] + 1]
+    gaps = np.r_[0.0, at[1:] - at[:-1], 0.0]
+    missed = np.searchsorted(np.sort(positive), cuts)
+    alarms = len(negative) - np.searchsorted(np.sort(negative), cuts)
+    loss = (1 - THRESHOLD) * missed + THRESHOLD * weight * alarms
+    best = np.flatnonzero(loss <= loss.min() + 1e-9)
+    return float(cuts[best[np.argmax(gaps[best])]])
+
+
 def _sampled(docs: DataFrame, keys: DataFrame, numbers: dict[str, int]) -> list[np.ndarray]:
     """Numbers of the distinct words of the documents whose ids are in keys, a bounded sample. New words get new numbers."""
 
@@ -111,6 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     unl_keys = docs.where(~holdout()).select(F.col("doc_id").cast("long").alias("doc_id")).where(below(most_unlabelled / max(1, total) * 4 / 3, 2)).distinct()
     numbers: dict[str, int] = {}
     pos, unl = _sampled(docs, pos_keys, numbers), _sampled(docs, unl_keys, numbers)
+    neg_keys = usable.where("toxic = 0").where(below(most_positive / max(1, n - positives), 3)).select("doc_id").distinct()
     if not pos or not unl:
         return ToxicModel({}, -30.0)
     a, b = len(pos), len(unl)
@@ -133,9 +149,13 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
             x[i, at[at >= 0]] = 1
         return x
 
-    unlabelled = matrix(unl)
-    weights, bias = nnpu(matrix(pos), unlabelled, prior)
-    bias += settle(unlabelled @ weights + bias, prior)
+    toxic = matrix(pos)
+    weights, bias = nnpu(toxic, matrix(unl), prior)
+    # without a labelled negative the bias of the risk stays
+    if neg := _sampled(docs, neg_keys, numbers):
+        column = np.r_[column, np.full(len(numbers) - len(column), -1)]
+        share = min(1.0, most_positive / max(1, n - positives)) / min(1.0, most_positive / positives)
+        bias += float(np.log(THRESHOLD / (1 - THRESHOLD))) - cut_of(toxic @ weights + bias, matrix(neg) @ weights + bias, 1 / share)
     return ToxicModel({names[w]: float(weights[i]) for i, w in enumerate(chosen) if abs(weights[i]) > 1e-3}, bias)
 
 

@@ -310,6 +310,20 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs, odd_rows):
     assert toxicity.scored(no_docs, toxicity.train(no_docs, odd), "score_").count() == 0
 
 
+def test_more_toxic_texts_than_labels_tell(spark):
+    """Half of the texts are toxic, a tenth of the labelled ones: all are found."""
+    import random
+
+    rng = random.Random(4)
+    clean = [f"plain{k}" for k in range(60)]
+    text = lambda bad: " ".join(rng.sample(clean, 20) + (["vile", "slur", "hate"] if bad else []))
+    docs = spark.createDataFrame([(i, text(i % 2)) for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, 1) for i in range(1, 301, 2)] + [(i, 1, 0) for i in range(0, 2700, 2)], "doc_id long, quality int, toxic int")
+    got = toxicity.scored(docs, toxicity.train(docs, labels)).collect()
+    hit = [(r.doc_id % 2, r.toxic_score >= toxicity.THRESHOLD) for r in got]
+    assert sum(h for bad, h in hit if bad) >= 1400 and sum(h for bad, h in hit if not bad) <= 50
+
+
 def test_nnpu_finds_the_plane():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2, (4000, 20)).astype(np.float32)
