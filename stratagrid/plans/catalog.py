@@ -355,6 +355,51 @@ def external_label_join(spark, sf):
     return align.outside_labels(i, outside, "l_shipdate", ["l_returnflag"], "y").select("l_orderkey", "l_linenumber", "y", "valid")
 
 
+# the same joins over whole axes: all hours, all customers, all label rows
+
+
+@query(
+    f"WITH {HOURLY}, want AS (SELECT CAST(h + to_minutes(CAST(((epoch_us(h) // 3600000000) % 6) * 10 AS INT)) AS TIMESTAMP) AS w, n FROM hourly),"
+    " m AS (SELECT w, want.n, h, x, row_number() OVER (PARTITION BY w ORDER BY abs(epoch_us(w) - epoch_us(h)), h DESC) AS k FROM want JOIN hourly ON abs(epoch_us(w) - epoch_us(h)) <= 5400000000)"
+    f" SELECT w, h, n, {q('x', 'x')} FROM m WHERE k = 1"
+)
+def nearest_time_join_whole(spark, sf):
+    h = hourly(spark, sf)
+    hour = F.floor(F.unix_micros(F.col("h").cast("timestamp")) / F.lit(3_600_000_000)).cast("long")
+    moved = F.timestamp_micros(F.unix_micros(F.col("h").cast("timestamp")) + (hour % 6) * 600_000_000).cast("timestamp_ntz")
+    return shown(align.nearest_time(h.select(moved.alias("w"), "n"), h.select("h", "x"), "w", "h", 5400), "x", keep=["w", "h", "n"])
+
+
+_WHOLE_GRIDS = "p AS (SELECT s_suppkey, s_acctbal / 1e3 AS x FROM supplier), g AS (SELECT DISTINCT CAST(floor(c_acctbal / 500) AS DOUBLE) * 5e-1 AS gx FROM customer)"
+
+
+def _whole_grids(spark, sf):
+    p = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1e3).alias("x"))
+    return p, table(spark, sf, "customer").select((F.floor(F.col("c_acctbal") / 500).cast("double") * 0.5).alias("gx")).distinct()
+
+
+@query(f"WITH {_WHOLE_GRIDS}, m AS (SELECT s_suppkey, gx, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(x - gx), gx DESC) AS k FROM p JOIN g ON abs(x - gx) <= 6e-1) SELECT p.s_suppkey, m.gx FROM p LEFT JOIN m ON m.s_suppkey = p.s_suppkey AND k = 1")
+def nearest_grid_join_whole(spark, sf):
+    p, g = _whole_grids(spark, sf)
+    return p.join(axes.nearest_map(p, g, "x", "gx", 0.6), "x", "left").select("s_suppkey", "gx")
+
+
+@query(f"WITH {_WHOLE_GRIDS}, m AS (SELECT s_suppkey, gx, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(x - gx), gx) AS k FROM p CROSS JOIN g) SELECT s_suppkey, gx FROM m WHERE k = 1")
+def nearest_first_join_whole(spark, sf):
+    p, g = _whole_grids(spark, sf)
+    return p.join(axes.nearest_map(p, g, "x", "gx", ties="smaller"), "x").select("s_suppkey", "gx")
+
+
+@query(
+    "WITH l AS (SELECT CAST(l_shipdate AS DATE) AS d, l_returnflag AS f, min(CASE WHEN l_quantity > 40 THEN 1 ELSE 0 END) AS y FROM lineitem GROUP BY 1, 2)"
+    " SELECT l_orderkey, l_linenumber, CAST(coalesce(l.y, 0) AS INT) AS y, l.y IS NOT NULL AS valid FROM lineitem i LEFT JOIN l ON l.d = CAST(i.l_shipdate AS DATE) AND l.f = i.l_returnflag"
+)
+def external_label_join_whole(spark, sf):
+    i = table(spark, sf, "lineitem")
+    outside = i.select(F.to_date("l_shipdate").alias("date"), "l_returnflag", F.when(F.col("l_quantity") > 40, 1).otherwise(0).alias("y"))
+    return align.outside_labels(i, outside, "l_shipdate", ["l_returnflag"], "y").select("l_orderkey", "l_linenumber", "y", "valid")
+
+
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")
 def dedupe_first(spark, sf):
     return align.first_of(table(spark, sf, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")

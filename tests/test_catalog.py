@@ -42,3 +42,9 @@ def test_entry_points(spark):
     assert set(catalog.QUERIES) <= set(entry.queries()) and set(catalog.SQL) <= set(entry.oracle_sql())
     assert entry.oracle_sql().keys() <= entry.queries().keys()
     assert entry.entry(spark).count() > 0
+
+
+def test_whole_axes_are_registered(spark):
+    hours = spark.read.parquet(f"{SF}/events.parquet").selectExpr("date_trunc('hour', ts) AS h").distinct().count()
+    assert catalog.QUERIES["nearest_time_join_whole"](spark, SF).count() == hours
+    assert catalog.QUERIES["external_label_join_whole"](spark, SF).where("NOT valid").count() == 0
