@@ -318,8 +318,9 @@ def near_copies(docs: DataFrame, similar: float = 0.8, shingle: int = 5, words:
         one = scratch.table(texts.groupBy(F.col(n).alias("fp")).agg(F.min("key").alias("key")), f"one-{n}")
         near = links(one.select("fp"), radius, scratch).distinct()
         ends = [one.select(F.col("fp").alias(x), F.col("key").alias(f"key_{x}")) for x in ("a", "b")]
-        pairs.append(near.join(ends[0], "a").join(ends[1], "b").select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")))
-        pairs.append(texts.select(F.col("key").alias("own"), F.col(n).alias("fp")).join(one, "fp").where("own <> key").select(F.col("key").alias("a"), F.col("own").alias("b")))
+        linked = near.join(ends[0], "a").join(ends[1], "b").select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
+        equal = texts.select(F.col("key").alias("own"), F.col(n).alias("fp")).join(one, "fp").where("own <> key").select(F.col("key").alias("a"), F.col("own").alias("b"))
+        pairs.append(scratch.table(linked.union(equal), f"links-{n}"))
     every = pairs[0]
     for p in pairs[1:]:
         every = every.union(p)

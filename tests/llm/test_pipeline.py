@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import duckdb
@@ -50,6 +51,18 @@ def test_stages_do_what_brute_force_does(spark):
     assert got == {i: coder.encode(t or "") for i, t in left.items()}
 
 
+def test_appended_and_cut_copies_are_candidates():
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    for edit in (lambda b: b + [word() for _ in range(61)], lambda b: b[:201]):
+        found = 0
+        for _ in range(100):
+            base = [word() for _ in range(250)]
+            a, b = (shingle_hashes(" ".join(t), 3) for t in (base, edit(base)))
+            found += any((fingerprint_of(_mixed(a, k)) ^ fingerprint_of(_mixed(b, k))).bit_count() <= corpus_pipeline.RADIUS for k in range(corpus_pipeline.PRINTS))
+        assert found >= 90
+
+
 def test_stages_on_odd_rows(spark, odd_docs, no_docs):
     for docs in (odd_docs, no_docs):
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
