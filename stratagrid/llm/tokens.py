@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import codec
-from .common import Scratch, shared_dir, slices
+from .common import Scratch, make_dir, shared_dir, slices
 
 MAGIC = b"STOK1\n"
 #: Ids of one file at which it is closed, and partitions' least number of rows worth a splitter.
@@ -138,9 +138,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, pl
     """Writes the files and returns (file, docs, ids, start), start being the ids of all files before.
 
     Each document's ids end in end_id. A null text counts as empty. Null ids come first; rows that repeat an id
-    lie together. An empty table gives no files.
+    lie together. An empty table gives an empty folder.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "tokens")
+    make_dir(spark, path)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     cuts = rows.agg(F.percentile_approx("doc_id", [(k + 1) / parts for k in range(parts - 1)], 10_000) if parts > 1 else F.array().cast("array<long>")).first()[0] or []
@@ -159,7 +160,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, pl
         import pyspark
 
         target, folder = fs.FileSystem.from_uri(path)
-        target.create_dir(folder, recursive=True)
         small = "<u2" if planes <= 2 else "<u4"
         part, held, n, k, done = pyspark.TaskContext.get().partitionId(), [], 0, 0, []
 
