@@ -38,6 +38,15 @@ SCRIPTS = {
 }
 
 
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters (Unicode category L) in lower case."""
+    found = _WORD.findall((text or "").lower())
+    if "".join(found).isalpha() or not found:
+        return found
+    # the pattern takes numerals that aren't decimal digits, such as a half or a raised two, for letters
+    return [p for w in found for p in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+
+
 def script_of(word: str) -> str:
     """Script of the word's first letter; `other` outside the known ranges."""
     at = ord(word[0])
@@ -75,7 +84,7 @@ class LangModel:
         """Of each text: (language, words, letters) of each span, in order."""
         if len(self.rows) * len(self.langs) > MEMO_SCORES:
             self.rows, self.scores = {}, self.scores[:0]
-        found = [_WORD.findall((t or "").lower()) for t in texts]
+        found = [words_of(t) for t in texts]
         if fresh := sorted({w for words in found for w in words} - self.rows.keys()):
             for at in range(0, len(fresh), 50_000):
                 self._learn(fresh[at : at + 50_000])
@@ -145,7 +154,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, switch: float = SWITC
         for batch in slices(batches, "text"):
             words: dict[str, Counter] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
+                words.setdefault(lang, Counter()).update(words_of(text))
             for lang, found in words.items():  # each different word once, by its number
                 grams = [grams_of(word) for word in found]
                 weights = np.repeat(np.fromiter(found.values(), np.int64, len(found)), [len(g) for g in grams])
@@ -176,7 +185,12 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, switch: float = SWITC
 
 
 def predicted(docs: DataFrame, model: LangModel | None) -> DataFrame:
-    """One row per input row: doc_id, held_out, lang_pred, score, n_spans. Whole texts; nothing is shuffled."""
+    """One row per input row: doc_id, held_out, lang_pred, score, n_spans. Whole texts; nothing is shuffled.
+
+    Null and empty texts, and those without a letter, are `und` with score 0, as are all texts without a model. A null
+    id is held out or not as an empty text would be; rows that repeat get equal predictions. An empty table gives no
+    rows; further columns aren't read.
+    """
     shared_dir(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model and (model.langs, model.table, model.allowed, model.switch))  # languages x GRAMS numbers
 
