@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, shared_dir, slices
+from .common import Scratch, make_dir, shared_dir, slices
 
 SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES = 16_384, 4_096, 16 << 20
 #: Leading part of the archives' names.
@@ -97,13 +97,16 @@ def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
-    """Writes a record for each row of pages (page_id, url, html) and returns (archive, records) of the files.
+    """Writes a record for each row of pages (page_id, url, html) and returns (archive, kind, records) of the files.
+
+    A task that runs again writes files under other names; those of the attempt that counts are in the result.
 
     Of equal payloads of least_bytes or more, the row with the smallest page_id is a response and the others
     revisit it; smaller ones are all responses. A null html is an empty payload; a null id sorts before others;
     of rows that repeat the smallest id, one is the response.
     """
     spark, scratch = pages.sparkSession, Scratch(pages.sparkSession, "warc-rows")
+    make_dir(spark, path)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.cast("binary").alias("payload")).withColumn("number", F.monotonically_increasing_id())
     rows = scratch.table(rows.withColumn("sha", F.sha1("payload")), "rows")
@@ -117,17 +120,16 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFra
 
         part, done = pyspark.TaskContext.get().partitionId(), []
         target, folder = fs.FileSystem.from_uri(path)
-        target.create_dir(folder, recursive=True)
         # whole records and segments go to archives of their own, so that reading shuffles only the latter
         held = {kind: [bytearray(), 0, 0, 0] for kind in (WHOLE, SEGMENTS)}  # bytes, size before compression, records, archive's number
 
         def close(kind: str) -> None:
             data, _, n, k = held[kind]
-            attempt = f"{folder}/.{kind}-{part}-{k}-{pyspark.TaskContext.get().taskAttemptId()}"
-            with target.open_output_stream(attempt) as out:
+            name = f"{kind}-{part:06d}-{k:04d}-{pyspark.TaskContext.get().taskAttemptId()}.warc.gz"
+            with target.open_output_stream(f"{folder}/.{name}", compression=None) as out:  # .gz would be detected and compressed twice
                 out.write(bytes(data))
-            target.move(attempt, name := f"{folder}/{kind}-{part:06d}-{k:04d}.warc.gz")
-            done.append((name, n))
+            target.move(f"{folder}/.{name}", f"{folder}/{name}")
+            done.append((name, kind, n))
             held[kind] = [bytearray(), 0, 0, k + 1]
 
         for batch in slices(batches, "payload"):
@@ -146,16 +148,17 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFra
         for kind in (WHOLE, SEGMENTS):
             if held[kind][2]:
                 close(kind)
-        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["archive", "records"])
+        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["archive", "kind", "records"])
 
-    written = scratch.table(named.mapInArrow(run, "archive string, records long"), "written")
+    written = scratch.table(named.mapInArrow(run, "archive string, kind string, records long"), "written")
     scratch.drop("rows")
     return written
 
 
-def read_archives(spark: SparkSession, path: str, whole_in: str = f"{WHOLE}-*.warc.gz", segments_in: str = f"{SEGMENTS}-*.warc.gz", with_payload: bool = True) -> DataFrame:
-    """A row for each page of all archives in the folder: page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload (null for revisits)].
+def read_archives(spark: SparkSession, path: str, whole_in: str = f"{WHOLE}-*.warc.gz", segments_in: str = f"{SEGMENTS}-*.warc.gz", with_payload: bool = True, archives: DataFrame | None = None) -> DataFrame:
+    """A row for each page of the archives in the folder: page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload (null for revisits)].
 
+    archives: those to read, as write_archives returns them; without it all in the folder. An empty folder gives no rows.
     whole_in and segments_in name the archives that hold records without and with segment numbers. Both may be the
     same pattern, for archives that hold both kinds; they are then read twice.
     Fails where a segment is missing, where the total length or the payload's digest differs from the record's.
@@ -216,7 +219,19 @@ def read_archives(spark: SparkSession, path: str, whole_in: str = f"{WHOLE}-*.wa
                 for at in range(0, len(found), 500):
                     yield rows_of([(page, url, kind, total, digest, refers, [number], [block], origin) for origin, number, total, kind, page, url, digest, refers, block in found[at : at + 500]])
 
-    files = lambda names: spark.read.format("binaryFile").option("pathGlobFilter", names).load(path).select("content")
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for name in batch.column("archive").to_pylist():
+                with store.open_input_stream(f"{folder}/{name}", compression=None) as file:
+                    yield pa.RecordBatch.from_arrays([pa.array([file.read()], pa.binary())], names=["content"])
+
+    def files(names: str) -> DataFrame:
+        if archives is None:
+            return spark.read.format("binaryFile").option("pathGlobFilter", names).load(path).select("content")
+        own = archives.where(F.col("kind") == names.partition("-")[0]).select("archive")
+        return own.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(opened, "content binary")
+
     seen = files(segments_in).mapInArrow(parts, PART_SCHEMA)
     # an origin's segments: as many as one page has; records that are whole aren't shuffled
     joined = seen.groupBy("origin").agg(
