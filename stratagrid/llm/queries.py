@@ -32,7 +32,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_groups(table(spark, sf_dir, "documents"))
+    return exact.exact_groups(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +55,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "warc").path("archives")
-    warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path, least_bytes=0)
-    return warc.read_archives(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    written = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path, least_bytes=0)
+    return warc.read_archives(spark, path, with_payload=False, archives=written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
