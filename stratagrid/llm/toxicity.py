@@ -1,17 +1,20 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over the distinct words of a text learns from confirmed toxic texts and from unlabelled
-ones. With class prior p, the risk is  p R_P(+) + max(0, R_U(-) - p R_P(-)): the second term is the risk of the
-unlabelled texts as negatives, corrected for the positives among them; where it falls below zero, the step goes
-up its slope instead of down, so that the model doesn't fit the unlabelled positives as negatives.
-
-Learning takes bounded samples (MOST_POSITIVE, MOST_UNLABELLED documents, chosen by a hash of the id), their
-words are drawn on the executors. Scoring reads every whole text where it lies, without a shuffle.
+A linear classifier over hashed features of a text (its distinct words and their beginnings), each divided by the
+root of their number, learns from confirmed toxic texts and from unlabelled ones. With class prior p, the risk is
+p R_P(+) + max(0, R_U(-) - p R_P(-)): the second term is the risk of the unlabelled texts as negatives, corrected
+for the positives among them; where it falls below zero, the step goes up its slope instead of down, so that the
+model doesn't fit the unlabelled positives as negatives.
+
+Learning takes bounded samples (MOST_POSITIVE of either label, MOST_UNLABELLED documents, chosen by a hash of the
+id). Executors find and count their features; the driver gets counts of BINS bins, then each sampled document's
+features among the CHOSEN ones. Scoring reads every whole text where it lies, without a shuffle.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import holdout, shared_dir, slices
+from .common import Scratch, holdout, shared_dir, slices
 
 MOST_POSITIVE, MOST_UNLABELLED = 4000, 8000
-#: Words of the model at most, and least sampled documents that a word is in.
-WORDS, LEAST_DOCS = 128, 4
-#: Longest word that counts, in characters; longer runs are no words.
-WORD_CHARS = 40
+#: Hashed features; those that the model weighs, of all that LEAST_DOCS sampled documents have; letters of words' beginnings.
+BINS, CHOSEN, LEAST_DOCS, STARTS = 1 << 18, 512, 4, (4, 5, 6, 7)
+#: Features count this much divided by the root of their number in the text.
+SCALE = 10.0
+#: Words whose features a worker remembers.
+MEMO = 200_000
 #: A text whose score is at least this counts as toxic.
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W_]+")
@@ -36,7 +41,27 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
-def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> tuple[np.ndarray, float]:
+class Features:
+    """Numbers of a text's features: its distinct words and their beginnings, hashed into BINS bins."""
+
+    def __init__(self):
+        self.memo: dict[str, tuple[int, ...]] = {}
+
+    def _of_word(self, word: str) -> tuple[int, ...]:
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        parts = [word, *(f"^{word[:k]}" for k in STARTS if len(word) > k)]
+        self.memo[word] = found = tuple(zlib.crc32(x.encode()) % BINS for x in parts)
+        return found
+
+    def of(self, text: str | None) -> set[int]:
+        memo, found = self.memo, set()
+        for word in words_of(text):
+            found.update(memo.get(word) or self._of_word(word))
+        return found
+
+
+def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 800, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative PU risk with logistic loss (Adam, mini-batches)."""
     rng, d = np.random.default_rng(seed), positive.shape[1]
     w, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
@@ -86,34 +111,84 @@ def cut_of(positive: np.ndarray, negative: np.ndarray, weight: float = 1.0) -> f
     return float(cuts[best[np.argmax(gaps[best])]])
 
 
-def _sampled(docs: DataFrame, keys: DataFrame, numbers: dict[str, int]) -> list[np.ndarray]:
-    """Numbers of the distinct words of the documents whose ids are in keys, a bounded sample. New words get new numbers."""
+class ToxicModel:
+    """Log-odds weights of features; score() is the probability of label 1."""
+
+    def __init__(self, weights: dict[int, float], bias: float):
+        self.weights, self.bias, self.features = weights, bias, Features()
+        self.known = weights.keys()
+
+    def score(self, text: str | None) -> float:
+        found = self.features.of(text)
+        z = self.bias + sum(self.weights[i] for i in sorted(self.known & found)) * SCALE / max(1, len(found)) ** 0.5
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
+def _found(docs: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """(kind, doc_id, features) of the documents whose ids keys (doc_id, kind) has, a bounded sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
         for batch in slices(batches, "text"):
-            found = [sorted(w for w in words_of(t) if len(w) <= WORD_CHARS) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "words": pa.array([" ".join(x) for x in found], pa.string())})
+            found = [np.array(sorted(features.of(t)), "<i4").tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("doc_id"), pa.array(found, pa.binary())], names=["kind", "doc_id", "features"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(keys), "doc_id", "left_semi").mapInArrow(run, "doc_id long, words string")
-    found = [(r["doc_id"], np.array([numbers.setdefault(w, len(numbers)) for w in r["words"].split(" ") if w], np.int32)) for r in rows.toLocalIterator()]
-    return [words for _, words in sorted(found, key=lambda x: (x[0], len(x[1])))]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(keys), "doc_id").select("kind", "doc_id", "text")
+    return scratch.table(rows.mapInArrow(run, "kind string, doc_id long, features binary"), "sample")
 
 
-class ToxicModel:
-    """Log-odds weights of words; score() is the probability of label 1."""
+def _counted(found: DataFrame) -> dict[str, tuple[int, np.ndarray]]:
+    """By kind: its documents, and how many of them have each feature."""
 
-    def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
-        self.known = weights.keys()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for kind, features in zip(batch.column("kind").to_pylist(), batch.column("features").to_pylist(), strict=True):
+                own = counts.setdefault(kind, np.zeros(BINS + 1, np.int64))
+                own[np.frombuffer(features, "<i4")] += 1
+                own[BINS] += 1
+        for kind, own in counts.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at)), pa.array(at.astype(np.int32)), pa.array(own[at])], names=["kind", "bin", "n"])
+
+    sums = found.mapInArrow(run, "kind string, bin int, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).toPandas()  # three kinds, BINS + 1 rows each at most
+    out = {}
+    for kind, own in sums.groupby("kind"):
+        counts = np.zeros(BINS + 1, np.int64)
+        counts[own["bin"].to_numpy()] = own["n"].to_numpy()
+        out[kind] = (int(counts[BINS]), counts[:BINS])
+    return out
+
+
+def _matrices(found: DataFrame, chosen: np.ndarray) -> dict[str, np.ndarray]:
+    """By kind: a row for each sampled document, in order of the ids, a column for each chosen feature."""
 
-    def score(self, text: str | None) -> float:
-        z = self.bias + sum(self.weights[w] for w in sorted(self.known & words_of(text)))
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column = np.full(BINS, -1)
+        column[chosen] = np.arange(len(chosen))
+        for batch in batches:
+            found = [np.frombuffer(f, "<i4") for f in batch.column("features").to_pylist()]
+            at = [column[f] for f in found]
+            own = pa.array([a[a >= 0].astype("<i4").tobytes() for a in at], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("doc_id"), pa.array([len(f) for f in found], pa.int32()), own], names=["kind", "doc_id", "n", "at"])
+
+    rows = found.mapInArrow(run, "kind string, doc_id long, n int, at binary").collect()  # the samples' bounds times CHOSEN
+    out = {}
+    for kind in {r["kind"] for r in rows}:
+        own = sorted((r for r in rows if r["kind"] == kind), key=lambda r: (r["doc_id"], r["n"], bytes(r["at"])))
+        out[kind] = x = np.zeros((len(own), len(chosen)), np.float32)
+        for i, r in enumerate(own):
+            x[i, np.frombuffer(r["at"], "<i4")] = SCALE / max(1, r["n"]) ** 0.5
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> ToxicModel:
-    """Learns from documents outside the holdout. Without a toxic example every text scores 0."""
-    shared_dir(docs.sparkSession)
+    """Learns from documents outside the holdout. Without a toxic example every text scores 0.
+
+    Labels with a null id or a null label don't count, repeated ones count once for each label; documents that
+    repeat an id each count. An empty table of documents or labels gives the model without an example.
+    """
+    scratch = Scratch(docs.sparkSession, "toxicity")
     usable = labels.where(~holdout()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     n, positives = usable.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.lit(0))).first()
     if not positives:
@@ -121,51 +196,38 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     prior = min(0.9, positives / n)
     # a hash below a share of its range is a sample of bounded expected size, whatever the input
     below = lambda share, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) < int(min(1.0, share) * (1 << 40))
-    pos_keys = usable.where("toxic = 1").where(below(most_positive / positives, 1)).select("doc_id").distinct()
     total = docs.count()
-    unl_keys = docs.where(~holdout()).select(F.col("doc_id").cast("long").alias("doc_id")).where(below(most_unlabelled / max(1, total) * 4 / 3, 2)).distinct()
-    numbers: dict[str, int] = {}
-    pos, unl = _sampled(docs, pos_keys, numbers), _sampled(docs, unl_keys, numbers)
-    neg_keys = usable.where("toxic = 0").where(below(most_positive / max(1, n - positives), 3)).select("doc_id").distinct()
-    if not pos or not unl:
+    toxic = usable.where("toxic = 1").where(below(most_positive / positives, 1)).select("doc_id", F.lit("toxic").alias("kind"))
+    clean = usable.where("toxic = 0").where(below(most_positive / max(1, n - positives), 3)).select("doc_id", F.lit("clean").alias("kind"))
+    any_ = docs.where(~holdout()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("any").alias("kind")).where(below(most_unlabelled / max(1, total) * 4 / 3, 2))
+    found = _found(docs, toxic.union(clean).union(any_).distinct(), scratch)
+    counts = _counted(found)
+    if "toxic" not in counts or "any" not in counts:
         return ToxicModel({}, -30.0)
-    a, b = len(pos), len(unl)
-    k, c = (np.bincount(np.concatenate(x), minlength=len(numbers)) for x in (pos, unl))
-    # words that tell the samples apart most, by the two-proportion z statistic; ties by the word
+    (a, k), (b, c) = counts["toxic"], counts["any"]
+    # features that tell the samples apart most, by the two-proportion z statistic; ties by their numbers
     pooled = (k + c) / (a + b)
     z = np.abs(k / a - c / b) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / a + 1 / b))
     fits = np.flatnonzero((k > 0) & (k + c >= LEAST_DOCS))
-    names = list(numbers)
-    chosen = sorted(fits.tolist(), key=lambda w: (-z[w], names[w]))[:WORDS]
-    if not chosen:
+    chosen = fits[np.argsort(-z[fits], kind="stable")[:CHOSEN]]
+    if not len(chosen):
         return ToxicModel({}, float(np.log(prior / (1 - prior))))
-    column = np.full(len(numbers), -1)
-    column[chosen] = np.arange(len(chosen))
-
-    def matrix(sample: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(sample), len(chosen)), np.float32)
-        for i, found in enumerate(sample):
-            at = column[found]
-            x[i, at[at >= 0]] = 1
-        return x
-
-    toxic = matrix(pos)
-    weights, bias = nnpu(toxic, matrix(unl), prior)
-    # without a labelled negative the bias of the risk stays
-    if neg := _sampled(docs, neg_keys, numbers):
-        column = np.r_[column, np.full(len(numbers) - len(column), -1)]
+    samples = _matrices(found, chosen)
+    weights, bias = nnpu(samples["toxic"], samples["any"], prior)
+    if "clean" in samples:  # without a labelled negative the bias of the risk stays
         share = min(1.0, most_positive / max(1, n - positives)) / min(1.0, most_positive / positives)
-        bias += float(np.log(THRESHOLD / (1 - THRESHOLD))) - cut_of(toxic @ weights + bias, matrix(neg) @ weights + bias, 1 / share)
-    return ToxicModel({names[w]: float(weights[i]) for i, w in enumerate(chosen) if abs(weights[i]) > 1e-3}, bias)
+        bias += float(np.log(THRESHOLD / (1 - THRESHOLD))) - cut_of(samples["toxic"] @ weights + bias, samples["clean"] @ weights + bias, 1 / share)
+    return ToxicModel({int(i): float(w) for i, w in zip(chosen, weights, strict=True) if abs(w) > 1e-3}, bias)
 
 
 def scored(docs: DataFrame, model: ToxicModel, name: str = "toxic_score") -> DataFrame:
     """docs with a column of that name, which docs mustn't have yet: the probability that labels.toxic would be 1.
 
-    Null and empty texts have the score of a text without words. Rows keep their columns and place.
+    Null and empty texts have the score of a text without words; rows that repeat get equal scores. An empty table
+    stays empty. Rows keep their columns and place.
     """
     shared_dir(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # WORDS entries at most
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # CHOSEN entries at most
     columns, text_at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
