@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import re
+import shutil
 import struct
 import zlib
 
@@ -15,6 +16,8 @@ import xxhash
 from stratagrid.llm import bpe, codec, components, decontaminate, exact, langid, shard, simhash, suffix, tokens, toxicity, warc
 from stratagrid.llm.common import Scratch
 
+from .conftest import long_text
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -49,6 +52,45 @@ def test_shards_overflow_only_from_full_ones(spark):
     assert all(own[s] > counts[s] or (got[got["shard"] == s]["ring_shard"] != s).any() for s in moved["ring_shard"].unique())
 
 
+def ring_of(docs, shards, vnodes=64):
+    """Row by row: rows of a cell in order of their place; each goes clockwise to the first shard with room."""
+    rows = docs.selectExpr("doc_id", "text", "xxhash64(doc_id, crc32(cast(text as binary)), cast(octet_length(text) as bigint) + 1) AS p").collect()
+    n, bits = len(rows), shard.LEAST_BITS
+    owner = shard.ring_tokens(shards, vnodes, bits)
+    walk = shard.clockwise(owner, shards)
+    cells = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.p, r.doc_id)):
+        cells[(r.p % (1 << 64)) >> (64 - bits)].append(r.doc_id)
+    room, found = [n // shards + (s < n % shards) for s in range(shards)], {}
+    left = {c: list(ids) for c, ids in cells.items()}
+    for k in range(shards):  # first choices of all rows, then second ones, ...
+        for s in range(shards):
+            for c in sorted(left):
+                while left[c] and walk[c][k] == s and room[s]:
+                    found[left[c].pop(0)] = s
+                    room[s] -= 1
+    return found, {i: int(owner[c]) for c, ids in cells.items() for i in ids}
+
+
+@pytest.mark.parametrize("n, shards", [(1, 3), (700, 5), (3000, 16)])
+def test_shards_are_the_walk_s(spark, n, shards):
+    docs = spark.createDataFrame([(i, f"text {i % 97}") for i in range(n)], "doc_id long, text string")
+    want, ring = ring_of(docs, shards)
+    got = shard.assign_shards(docs, shards=shards).collect()
+    assert {r.doc_id: r.shard for r in got} == want and {r.doc_id: r.ring_shard for r in got} == ring
+
+
+def test_movement_is_limited(spark):
+    """Another shard, or a hundredth more rows, move about their share of the rows, not all."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(8000)], "doc_id long, text string")
+    at = lambda d, s: {r.doc_id: r.shard for r in shard.assign_shards(d, shards=s, vnodes=256).collect()}
+    base = at(docs, 16)
+    grown = at(docs, 17)
+    assert sum(base[i] != grown[i] for i in base) <= 3 * 8000 / 17
+    fewer = at(docs.where("doc_id < 7920"), 16)
+    assert sum(base[i] != s for i, s in fewer.items()) <= 0.05 * 8000
+
+
 def test_fill_follows_the_ring():
     owner = np.array([0, 0, 1, 2])
     walk = shard.clockwise(owner, 3)
@@ -98,6 +140,34 @@ def test_a_group_over_many_partitions(spark):
     assert got["kept"].sum() == 1001
 
 
+def test_splitters_cut_between_texts():
+    assert exact.splitter("abc", "abd", 5, 0) == ("abd", False, 0, -1, False)
+    assert exact.splitter("abc", "abcde", 5, 0) == ("abcd", False, 0, -1, False)
+    assert exact.splitter(None, "xyz", 5, 0) == exact.splitter("", "xyz", 5, 0) == ("x", False, 0, -1, False)
+    assert exact.splitter("same", "same", 5, 7) == ("same", True, 5, 7, True)
+    assert exact.splitter("same", "same", None, 7) == ("same", False, 0, 7, True)
+
+
+@pytest.mark.parametrize("partitions", ["2", "40"])
+def test_repeated_ids_and_rows(spark, monkeypatch, partitions):
+    """Null ids, one id under several texts, equal rows, long common beginnings: one row of each text stays."""
+    start = "the same beginning " * 40
+    texts = [start + str(k % 7) for k in range(60)] + [start, start + " ", "", None, "\t"]
+    rows = [(None if k % 5 == 0 else k % 3, t) for k, t in enumerate(texts * 3)]
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "n long, doc_id long, text string")
+        got = exact.exact_groups(docs, row_col="n").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    groups = collections.defaultdict(list)
+    for k, (i, t) in enumerate(rows):
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append((i is not None, i or 0, k))
+    firsts = {min(g)[2] for g in groups.values()}
+    assert len(got) == len(rows) and {r.row for r in got if r.kept} == firsts and sum(r.kept for r in got) == len(firsts)
+    assert sorted(r.group_size for r in got) == sorted(len(g) for g in groups.values() for _ in g)
+
+
 def test_exact_groups_of_nothing(no_docs):
     assert exact.exact_groups(no_docs).count() == 0
 
@@ -189,9 +259,11 @@ def test_links_over_trees(spark, monkeypatch, aim, most, radius, held):
     fps += [int(seeds[0]) ^ (1 << b) for b in range(64)]
     fps = sorted(set(fps))
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    frame = spark.createDataFrame([(x,) for x in signed], "fp long")
+    frame = spark.createDataFrame([(p, x) for x in signed for p in (0, 1)], "print int, fp long")
     scratch = Scratch(spark, "test")
-    found = {r.node: r.component for r in components.components(simhash.links(frame, radius, scratch), scratch).collect()}
+    made = simhash.links(frame, radius, scratch).cache()
+    assert made.where("print = 0").select("a", "b").distinct().count() == made.where("print = 1").select("a", "b").distinct().count()
+    found = {r.node: r.component for r in components.components(made.where("print = 1").select("a", "b"), scratch).collect()}
     roots = brute_components(fps, radius)
     for i in range(len(fps)):
         for j in range(i):
@@ -297,7 +369,7 @@ def test_toxicity_on_held_out_rows(spark):
     assert got["toxic_score"].between(0, 1).all()
     held = got[[zlib.crc32(str(i).encode()) % 4 == 2 for i in got["doc_id"]]]
     hit = held["toxic_score"] >= toxicity.THRESHOLD
-    assert (held[hit]["toxic"] == 1).mean() >= 0.9 and hit[held["toxic"] == 1].mean() >= 0.75
+    assert (held[hit]["toxic"] == 1).mean() >= 0.9 and hit[held["toxic"] == 1].mean() >= 0.9
 
 
 def test_toxicity_of_odd_rows(spark, odd_docs, no_docs, odd_rows):
@@ -307,6 +379,7 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs, odd_rows):
         model = toxicity.train(odd_docs, labels)
         got = toxicity.scored(odd_docs, model, "score_").collect()
         assert len(got) == len(odd_rows) and all(0 <= r.score_ <= 1 for r in got) and all(r.toxic_score == 0.5 for r in got)
+        assert toxicity.train(no_docs, labels).score("any text") < toxicity.THRESHOLD
     assert toxicity.scored(no_docs, toxicity.train(no_docs, odd), "score_").count() == 0
 
 
@@ -361,7 +434,7 @@ def test_viterbi_in_lanes_is_the_plain_one():
     model = langid.LangModel(["a", "b", "c"], rng.normal(0, 2, (3, langid.GRAMS)).astype(np.float32), {"latin": np.array([True, True, False]), "greek": np.array([False, False, True])}, 3.0)
     texts = [None, "", "123 !!", "one two three four five", "αβγ δε ζ", "one αβγ two", " ".join(chr(97 + int(k)) * 3 for k in rng.integers(0, 26, 300))]
     for text, spans in zip(texts, model.spans(texts), strict=True):
-        words = langid._WORD.findall((text or "").lower())
+        words = langid.words_of(text)
         path = viterbi(np.array([model.scores[model.rows[w]] for w in words]), 3.0) if words else []
         flat = [lang for lang, n, _ in spans for _ in range(n)]
         assert flat == path and sum(s[2] for s in spans) == sum(map(len, words))
@@ -369,6 +442,12 @@ def test_viterbi_in_lanes_is_the_plain_one():
     assert model.predict(["αβγ δε"])[0][0] == "c"
 
 
+def test_numerals_are_no_letters(odd_docs):
+    assert langid.words_of("½ ² Ⅷ ٣ 12 _ x²y Été") == ["x", "y", "été"] and langid.words_of("½") == langid.words_of(None) == []
+    model = langid.train(odd_docs)
+    assert [p[:2] for p in model.predict(["½ ²", "①②", "12"])] == [("und", 0.0)] * 3
+
+
 def test_language_of_odd_rows(odd_docs, no_docs, odd_rows):
     got = langid.predicted(odd_docs, langid.train(odd_docs)).collect()
     assert len(got) == len(odd_rows) and all(0 <= r.score <= 1 for r in got)
@@ -413,6 +492,7 @@ def test_token_files_round_trip(spark, odd_docs, odd_rows, monkeypatch, file_ids
 def test_token_files_of_nothing(spark, no_docs):
     path = Scratch(spark, "test").path("ids")
     assert tokens.write_tokens(no_docs, path, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+    assert tokens.read_tokens(spark, path, with_ids=True).count() == 0
 
 
 @pytest.mark.parametrize("planes, top", [(1, 256), (2, 65_536), (3, 1 << 24), (4, 1 << 32)])
@@ -449,9 +529,9 @@ def brute_removed(texts, least):
         yield gone
 
 
-@pytest.mark.parametrize("hot, piece", [(4096, 1 << 20), (2, 3000)])
-def test_removed_passages(spark, odd_docs, odd_rows, monkeypatch, hot, piece):
-    monkeypatch.setattr(suffix, "HOT", hot)
+@pytest.mark.parametrize("windows, piece", [(1 << 20, 1 << 20), (500, 3000)])
+def test_removed_passages(spark, odd_docs, odd_rows, monkeypatch, windows, piece):
+    monkeypatch.setattr(suffix, "WINDOWS", windows)
     monkeypatch.setattr(suffix, "PIECE", piece)
     got = suffix.without_repeats(odd_docs, 400, with_text=True).collect()
     want, texts = collections.Counter(), [(t or "").encode() for _, t in odd_rows]
@@ -462,12 +542,17 @@ def test_removed_passages(spark, odd_docs, odd_rows, monkeypatch, hot, piece):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 and sum(s["end"] - s["start"] for s in r.spans) == r.n_removed for r in got)
 
 
-def test_shared_passage_in_many_texts(spark, monkeypatch):
-    monkeypatch.setattr(suffix, "HOT", 20)
+@pytest.mark.parametrize("partitions", ["1", "40"])
+def test_shared_passage_in_many_texts(spark, partitions):
+    """In one bucket, and over the boundaries of many."""
     rng = np.random.default_rng(1)
     passage = rng.integers(97, 123, 700).astype(np.uint8).tobytes().decode()
     rows = [(i, rng.integers(97, 123, 500 + i).astype(np.uint8).tobytes().decode() + passage[i % 50 :] + rng.integers(97, 123, 450).astype(np.uint8).tobytes().decode()) for i in range(80)]
-    got = {r.doc_id: r.n_removed for r in suffix.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r.doc_id: r.n_removed for r in suffix.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
     texts = [t.encode() for _, t in rows]
     assert [got[i] for i, _ in rows] == [int(g.sum()) for g in brute_removed(texts, 400)]
 
@@ -484,7 +569,7 @@ def test_archives_round_trip(spark):
     rows = [(10 - i, None if i == 1 else f"http://h/{i}\r\n", h, 1) for i, h in enumerate(html)] + [(None, "u", "<p>x</p>", 1), (3, "u", "twice", 1), (3, "u", "twice", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, sha int")
     path = Scratch(spark, "test").path("warc")
-    warc.write_archives(pages, path)
+    written = warc.write_archives(pages, path)
     got = warc.read_archives(spark, path).collect()
     payload = lambda h: (h or "").encode()
     groups = collections.defaultdict(list)
@@ -497,11 +582,32 @@ def test_archives_round_trip(spark):
             want[i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "revisit" if k else "response", ids[0] if k else None] += 1
     assert collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
     assert all((r.payload is None) == (r.record_type == "revisit") for r in got)
+    # files of an attempt that was lost aren't read
+    again = warc.write_archives(pages.where("page_id = 3"), path)
+    assert warc.read_archives(spark, path, archives=written).count() == len(rows) and warc.read_archives(spark, path, archives=again).count() == 3
+    shutil.rmtree(path.removeprefix("file://"))
+    warc.write_archives(pages, path)
     assert warc.read_archives(spark, path, "*.warc.gz", "*.warc.gz").count() == len(rows)
     with pytest.raises(Exception, match="not the kind"):
         warc.read_archives(spark, path, "*.warc.gz").count()
 
 
+def test_a_page_over_several_archives(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 40_000)
+    pages = spark.createDataFrame([(k, "u", long_text(k, 30_000)) for k in range(3)] + [(9, "u", "short")], "page_id long, url string, html string")
+    path = Scratch(spark, "test").path("warc")
+    written = warc.write_archives(pages, path)
+    assert written.where("kind = 'segments'").count() > 6
+    got = {r.page_id: bytes(r.payload).decode() for r in warc.read_archives(spark, path, archives=written).collect()}
+    assert got == {r.page_id: r.html for r in pages.collect()}
+
+
+def test_archives_of_nothing(spark):
+    path = Scratch(spark, "test").path("warc")
+    written = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
+    assert written.count() == 0 and warc.read_archives(spark, path).count() == 0 and warc.read_archives(spark, path, archives=written).count() == 0
+
+
 def test_small_payloads_are_all_responses(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     path = Scratch(spark, "test").path("warc")
@@ -542,12 +648,16 @@ def test_myers_is_the_plain_distance():
         assert decontaminate.myers(p, t, d - 1) is None
 
 
-def test_items_within_the_budget_are_found(spark):
+@pytest.mark.parametrize("block_chars, held", [(4_000_000, 32 << 20), (200, 4000)])
+def test_items_within_the_budget_are_found(spark, monkeypatch, block_chars, held):
+    """In one block, and in ten or more that meet slices of few documents."""
     import random
 
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", held)
+
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
-    items = [(k, " ".join(word() for _ in range(30))) for k in range(12)] + [(50, None), (51, ""), (52, "short"), (None, " ".join(word() for _ in range(20)))]
+    items = [(k, " ".join(word() for _ in range(30))) for k in range(12)] + [(50, None), (51, "?!"), (52, "short"), (53, "Short, sweet"), (54, "x" * 23), (None, " ".join(word() for _ in range(20)))]
     docs, want = [], set()
     for k, (i, t) in enumerate(items[:12]):
         for edits in (0, 3, int(len(t) * 0.07), int(len(t) * 0.08) + 15):
@@ -555,20 +665,22 @@ def test_items_within_the_budget_are_found(spark):
             for at in rng.sample(range(len(s)), edits):
                 s[at] = "z"
             docs.append((len(docs), " ".join(word() for _ in range(40)) + ". " + "".join(s).upper() + "! " + word()))
-    docs += [(900, None), (None, ""), (901, items[0][1] + " and " + items[1][1]), (902, "short " * 10)]
+    docs += [(900, None), (None, ""), (901, items[0][1] + " and " + items[1][1]), (902, "short " * 10), (903, "shortly"), (904, "a SHORT sweet"), (905, "short"), (906, "x" * 23 + " y"), (907, "x" * 22 + "z")]
     plain = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
     for d, t in docs:
         for i, x in items:
             p = plain(x)
-            if len(p) >= decontaminate.LEAST_CHARS and (n := edit_distance_within(p, plain(t))) <= int(len(p) * decontaminate.ERROR_SHARE):
+            if len(p) >= 24 and (n := edit_distance_within(p, plain(t))) <= int(len(p) * decontaminate.ERROR_SHARE):
                 want.add((d, i, n))
+            elif 0 < len(p) < 24 and f" {p} " in f" {plain(t)} ":
+                want.add((d, i, 0))
     frame = spark.createDataFrame([(*r, "l", "p") for r in docs], "doc_id long, text string, leaks string, plain_text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.matched(frame, bench, name="found").collect()
-    assert len(got) == len(docs) and {(r.doc_id, x.item_id, x.distance) for r in got for x in r.found} == want and len(want) >= 36
-    assert all(r.leaks == "l" and r.plain_text == "p" for r in got)
-    small = [b for b in decontaminate.blocks_of(bench, block_chars=300)]
-    assert len(small) > 5 and sum(map(len, small)) == 13
+    got = decontaminate.matched(frame, bench, name="found", block_chars=block_chars).collect()
+    assert len(got) == len(docs) and {(r.doc_id, x.item_id, x.distance) for r in got for x in r.found} == want and len(want) >= 40
+    assert all(r.leaks == "l" and r.plain_text == "p" for r in got) and {d for d, i, _ in want if i == 52} == {902, 904, 905}
+    assert all(plain(docs[[d for d, _ in docs].index(r.doc_id)][1])[: x.end].endswith("short") for r in got for x in r.found if x.item_id == 52)
+    assert (decontaminate.blocks_of(bench, Scratch(spark, "test"), block_chars=block_chars)[1] >= 10) is (block_chars == 200)
 
 
 def test_decontamination_of_nothing(spark, no_docs, odd_docs, odd_rows):
