@@ -64,3 +64,13 @@ def common(frames: list[DataFrame], keys: list[str]) -> DataFrame:
     for frame in frames[1:]:
         out = out.join(frame, keys)
     return out
+
+
+def merged(frames: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Full outer join of all frames on their positions; of a variable that several have, the first value there is."""
+    out = frames[0]
+    for frame in frames[1:]:
+        both = [c for c in frame.columns if c not in keys and c in out.columns]
+        other = frame.withColumnsRenamed({c: f"_next_{c}" for c in both})
+        out = out.join(other, keys, "full").withColumns({c: F.coalesce(c, f"_next_{c}") for c in both}).drop(*(f"_next_{c}" for c in both))
+    return out

@@ -39,6 +39,32 @@ def rollup(df: DataFrame, truth: str, predicted: str, year: str) -> DataFrame:
     return metrics(made.withColumn(year, F.coalesce(F.col(year).cast("string"), F.lit("ALL"))))
 
 
+def agreement(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """Counts and metrics of one labelling held against another over the rows that both label, and each one's events."""
+    valid = df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull())
+    return confusion(valid, truth, predicted).withColumns({"valid_samples": F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"), "events_true": F.col("tp") + F.col("fn"), "events_pred": F.col("tp") + F.col("fp")})
+
+
+def report(df: DataFrame, year: str, truth: str, predicted: str, value: str, predicted_value: str, optimised: str | None = None) -> DataFrame:
+    """A row for each year, one for ALL and, with predictions by an optimised threshold, one for OPT over all years.
+
+    rmse, mae, r2 of the values; f1, recall, precision, balanced_accuracy, events_true, events_pred of the labels.
+    One pass over the rows: OPT's counts are taken with those of ALL.
+    """
+    t, p = F.col(value).cast("double"), F.col(predicted_value).cast("double")
+    square = F.avg((p - t) * (p - t))
+    errors = [F.sqrt(square).alias("rmse"), F.avg(F.abs(p - t)).alias("mae"), F.when(F.var_pop(t) > 0, F.lit(1.0) - square / F.var_pop(t)).otherwise(F.lit(0.0)).alias("r2")]
+    names = ["tp", "fp", "fn", "tn"]
+    more = [F.struct(*counts(truth, optimised)).alias("_opt")] if optimised else []
+    made = df.rollup(year).agg(*errors, F.struct(*counts(truth, predicted)).alias("_own"), *more)
+    label = F.coalesce(F.col(year).cast("string"), F.lit("ALL"))
+    rows = F.array(F.struct(label.alias(year), F.col("_own").alias("c")))
+    if optimised:
+        rows = F.when(F.col(year).isNull(), F.array(F.struct(label.alias(year), F.col("_own").alias("c")), F.struct(F.lit("OPT").alias(year), F.col("_opt").alias("c")))).otherwise(rows)
+    made = metrics(made.select("rmse", "mae", "r2", F.inline(rows)).select(year, "rmse", "mae", "r2", *(F.col(f"c.{n}").alias(n) for n in names)))
+    return made.select(year, "rmse", "mae", "r2", "f1", "recall", "precision", "balanced_accuracy", (F.col("tp") + F.col("fn")).alias("events_true"), (F.col("tp") + F.col("fp")).alias("events_pred"))
+
+
 def class_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """precision, recall, f1 and support of each class, then `macro` and `weighted` means."""
     both = df.select(F.col(truth).alias("t"), F.col(predicted).alias("p")).groupBy("t", "p").count()

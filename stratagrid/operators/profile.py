@@ -16,20 +16,50 @@ def long(df: DataFrame, variables: list[str], keep: list[str] | None = None) ->
     return df.select(*(keep or []), *(F.col(v).cast("double").alias(v) for v in variables)).unpivot(keep or [], variables, "variable", "value")
 
 
+#: Ranges that a variable's values are cut into before its quantiles are looked for.
+RANGES = 256
+
+
+def exact_quantiles(df: DataFrame, variables: list[str], levels: list[float]) -> DataFrame:
+    """(variable, level, value), exact and linear between neighbours; NULL for a variable without values.
+
+    Equal values are combined first. A sketch cuts each variable into ranges, their counts tell in which ranges
+    the ranks lie, and only these are sorted: no task holds a variable.
+    """
+    values = long(df, variables).where("value IS NOT NULL").groupBy("variable", "value").agg(F.count("*").alias("n"))
+    cuts = values.groupBy("variable").agg(F.percentile_approx("value", F.array(*(F.lit(k / RANGES) for k in range(1, RANGES))), 4 * RANGES).alias("cuts"))
+    at = F.aggregate("cuts", F.lit(0), lambda k, c: k + F.when(c < F.col("value"), 1).otherwise(0))
+    ranged = values.join(F.broadcast(cuts), "variable").select("variable", "value", "n", at.alias("part"))  # a row for a variable
+    sums = ranged.groupBy("variable", "part").agg(F.sum("n").alias("size"))
+    upto = Window.partitionBy("variable").orderBy("part")  # RANGES rows at most
+    sums = sums.withColumn("before", F.sum("size").over(upto) - F.col("size")).withColumn("total", F.sum("size").over(Window.partitionBy("variable")))
+    place = F.col("level") * (F.col("total") - 1)
+    ranks = sums.select("*", F.explode(F.array(*(F.lit(float(x)) for x in sorted(set(levels))))).alias("level")).withColumn("place", place)
+    ranks = ranks.select("*", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("rank")).where("rank >= before AND rank < before + size")
+    wanted = ranks.select("variable", "part", "before").distinct()
+    within = Window.partitionBy("variable", "part").orderBy("value")
+    placed = ranged.join(F.broadcast(wanted), ["variable", "part"]).select("variable", "part", "value", (F.col("before") + F.sum("n").over(within)).alias("end"), "n")  # two ranges for a level and variable
+    found = placed.join(F.broadcast(ranks.select("variable", "part", "level", "place", "rank")), ["variable", "part"]).where("rank >= end - n AND rank < end")
+    low, high = F.min_by("value", "rank"), F.max_by("value", "rank")
+    made = found.groupBy("variable", "level").agg((low + (F.first("place") - F.min("rank")) * (high - low)).alias("value"))
+    every = df.sparkSession.createDataFrame([(v, float(x)) for v in variables for x in levels], "variable string, level double")
+    return every.join(made, ["variable", "level"], "left")
+
+
 def describe(df: DataFrame, variables: list[str]) -> DataFrame:
     """count, nulls, null_pct, min, max, mean, std (population), q1, median, q3 of each variable."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     made = long(df, variables).groupBy("variable").agg(
-        F.count("*").alias("rows"), F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), q.alias("_q"),
+        F.count("*").alias("rows"), F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
     )
+    at = lambda x: F.max(F.when(F.col("level") == x, F.col("value")))
+    quarters = exact_quantiles(df, variables, [0.25, 0.5, 0.75]).groupBy("variable").agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
     nulls = F.col("rows") - F.col("n")
-    return made.select("variable", "n", nulls.alias("nulls"), (ratio(nulls, F.col("rows")) * 100).alias("null_pct"), "min", "max", "mean", "std", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    return made.join(quarters, "variable", "left").select("variable", "n", nulls.alias("nulls"), (ratio(nulls, F.col("rows")) * 100).alias("null_pct"), "min", "max", "mean", "std", "q1", "median", "q3")
 
 
 def quantiles(df: DataFrame, variable: str, levels: list[float]) -> DataFrame:
     """(level, value), exact and linear between neighbours."""
-    q = F.percentile(variable, F.array(*(F.lit(float(x)) for x in levels)))
-    return df.agg(q.alias("q")).select(F.posexplode("q").alias("k", "value")).select(F.array(*(F.lit(float(x)) for x in levels))[F.col("k")].alias("level"), "value")
+    return exact_quantiles(df, [variable], levels).select("level", "value")
 
 
 def missing(df: DataFrame, variables: list[str]) -> DataFrame:
@@ -97,11 +127,21 @@ def cell_recall(df: DataFrame, truth: str, predicted: str, cell: list[str]) -> D
 
 def plot_range(df: DataFrame, variable: str, symmetric: bool = False) -> DataFrame:
     """(low, high): 2nd and 98th percentile, mirrored about zero if symmetric."""
-    made = df.agg(F.percentile(variable, F.array(F.lit(0.02), F.lit(0.98))).alias("q")).select(F.col("q")[0].alias("a"), F.col("q")[1].alias("b"))
+    made = exact_quantiles(df, [variable], [0.02, 0.98]).agg(F.min_by("value", "level").alias("a"), F.max_by("value", "level").alias("b"))
     far = F.greatest(F.abs("a"), F.abs("b"))
     return made.select((-far if symmetric else F.col("a")).alias("low"), (far if symmetric else F.col("b")).alias("high"))
 
 
+def monthly_maps(df: DataFrame, month: Column, variables: list[str], cell: list[str]) -> DataFrame:
+    """(month, cell, variables): means of each cell over all years' days of a month."""
+    return df.groupBy(month.alias("month"), *cell).agg(*(F.avg(v).alias(v) for v in variables))
+
+
+def means_and_peaks(df: DataFrame, by: list[str], variables: list[str]) -> DataFrame:
+    """mean_{v} and max_{v} of each variable: by time a series, by cell a map."""
+    return df.groupBy(*by).agg(*(f(v).alias(f"{name}_{v}") for v in variables for name, f in (("mean", F.avg), ("max", F.max))))
+
+
 def pivot_grid(df: DataFrame, lat: str, lon: str, value: str, longitudes: list) -> DataFrame:
     """A row for each latitude, a column lon_{x} for each longitude named."""
     made = df.groupBy(lat).pivot(lon, longitudes).agg(F.first(value))

@@ -429,3 +429,26 @@ def test_nothing_warns_on_good_parameters(spark):
     with warnings.catch_warnings():
         warnings.simplefilter("error", UserWarning)
         temporal.lags(series(spark, [1.0]), ["v"], [1])
+
+
+def test_quantiles_by_ranges_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    a = np.r_[rng.normal(0, 1, 3000), np.full(2000, 7.0), rng.integers(0, 5, 1000)]
+    rows = [(float(x), 3.0, None, float(k) if k == 11 else None) for k, x in enumerate(a)]
+    df = spark.createDataFrame(rows, "a double, same double, nothing double, one double")
+    levels = [0.0, 0.013, 0.25, 0.5, 0.77, 1.0]
+    got = {(r.variable, r.level): r.value for r in profile.exact_quantiles(df, ["a", "same", "nothing", "one"], levels).collect()}
+    for x in levels:
+        assert abs(got["a", x] - np.quantile(a, x)) < 1e-9
+        assert got["same", x] == 3.0 and got["nothing", x] is None and got["one", x] == 11.0
+    assert profile.quantiles(df.where("a > 100"), "a", [0.5]).collect()[0].value is None
+    assert profile.describe(df, ["nothing"]).collect()[0].median is None
+
+
+def test_merged_parts_and_report_without_years(spark):
+    a, b = spark.createDataFrame([(1, 2.0), (2, None)], "t int, v double"), spark.createDataFrame([(2, 5.0, 1), (3, 6.0, 2)], "t int, v double, w int")
+    assert sorted(map(tuple, align.merged([a, b], ["t"]).collect())) == [(1, 2.0, None), (2, 5.0, 1), (3, 6.0, 2)]
+    y = spark.createDataFrame([], "year string, hit int, pred int, opt int, t double, p double")
+    assert {r.year for r in evaluate.report(y, "year", "hit", "pred", "t", "p", "opt").collect()} <= {"ALL", "OPT"}
