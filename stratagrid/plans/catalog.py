@@ -294,46 +294,6 @@ def binarize_vs_clim(spark, sf):
 # ---- alignment
 
 
-_WANTED = "want AS (SELECT CAST(h + to_minutes(CAST(((epoch_us(h) // 3600000000) % 7) * 10 AS INT)) AS TIMESTAMP) AS w, n FROM hourly WHERE (epoch_us(h) // 3600000000) % 3 = 0), feat AS (SELECT h, x FROM hourly WHERE (epoch_us(h) // 3600000000) % 5 < 2)"
-
-
-def _axes_of_hours(spark, sf):
-    h = hourly(spark, sf)
-    hour = F.floor(F.unix_micros(F.col("h").cast("timestamp")) / F.lit(3_600_000_000)).cast("long")
-    moved = F.timestamp_micros(F.unix_micros(F.col("h").cast("timestamp")) + (hour % 7) * 600_000_000).cast("timestamp_ntz")
-    return h.where(hour % 3 == 0).select(moved.alias("w"), "n"), h.where(hour % 5 < 2).select("h", "x")
-
-
-@query(
-    f"WITH {HOURLY}, {_WANTED}, m AS (SELECT w, n, h, x, row_number() OVER (PARTITION BY w ORDER BY abs(epoch_us(w) - epoch_us(h)), h DESC) AS k FROM want JOIN feat ON abs(epoch_us(w) - epoch_us(h)) <= 5400000000)"
-    f" SELECT w, h, n, {q('x', 'x')} FROM m WHERE k = 1"
-)
-def nearest_time_join(spark, sf):
-    want, feat = _axes_of_hours(spark, sf)
-    return shown(align.nearest_time(want, feat, "w", "h", 5400), "x", keep=["w", "h", "n"])
-
-
-_GRIDS = "p AS (SELECT s_suppkey, s_acctbal / 1e3 AS x FROM supplier), g AS (SELECT DISTINCT CAST(floor(c_acctbal / 500) AS DOUBLE) * 5e-1 AS gx FROM customer WHERE c_custkey % 50 = 0)"
-
-
-def _grids(spark, sf):
-    p = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1e3).alias("x"))
-    g = table(spark, sf, "customer").where("c_custkey % 50 = 0").select((F.floor(F.col("c_acctbal") / 500).cast("double") * 0.5).alias("gx")).distinct()
-    return p, g
-
-
-@query(f"WITH {_GRIDS}, m AS (SELECT s_suppkey, gx, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(x - gx), gx DESC) AS k FROM p JOIN g ON abs(x - gx) <= 6e-1) SELECT p.s_suppkey, m.gx FROM p LEFT JOIN m ON m.s_suppkey = p.s_suppkey AND k = 1")
-def nearest_grid_join(spark, sf):
-    p, g = _grids(spark, sf)
-    return p.join(axes.nearest_map(p, g, "x", "gx", 0.6), "x", "left").select("s_suppkey", "gx")
-
-
-@query(f"WITH {_GRIDS}, m AS (SELECT s_suppkey, gx, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(x - gx), gx) AS k FROM p CROSS JOIN g) SELECT s_suppkey, gx FROM m WHERE k = 1")
-def nearest_first_join(spark, sf):
-    p, g = _grids(spark, sf)
-    return p.join(axes.nearest_map(p, g, "x", "gx", ties="smaller"), "x").select("s_suppkey", "gx")
-
-
 @query(
     "WITH r AS (SELECT CAST(ts AS DATE) AS d, user_id, value, row_number() OVER (PARTITION BY CAST(ts AS DATE), round_even(user_id / 1e1, 0) ORDER BY event_id) AS k FROM events WHERE event_type = 'purchase')"
     f" SELECT e.event_id, {q('coalesce(r.value, 0)', 'value_purchase')} FROM events e LEFT JOIN r ON r.d = CAST(e.ts AS DATE) AND round_even(r.user_id / 1e1, 0) = round_even(e.user_id / 1e1, 0) AND r.k = 1 WHERE e.event_type = 'click'"
@@ -345,48 +305,35 @@ def quantised_key_join(spark, sf):
     return shown(align.quantised_lookup(left, right, "ts", "lat", "lon", "value_purchase", ["event_id"]), "value_purchase", keep=["event_id"])
 
 
-@query(
-    "WITH l AS (SELECT CAST(l_shipdate AS DATE) AS d, l_returnflag AS f, min(CASE WHEN l_quantity > 40 THEN 1 ELSE 0 END) AS y FROM lineitem WHERE l_suppkey % 7 = 0 GROUP BY 1, 2)"
-    " SELECT l_orderkey, l_linenumber, CAST(coalesce(l.y, 0) AS INT) AS y, l.y IS NOT NULL AS valid FROM lineitem i LEFT JOIN l ON l.d = CAST(i.l_shipdate AS DATE) AND l.f = i.l_returnflag"
-)
-def external_label_join(spark, sf):
-    i = table(spark, sf, "lineitem")
-    outside = i.where("l_suppkey % 7 = 0").select(F.to_date("l_shipdate").alias("date"), "l_returnflag", F.when(F.col("l_quantity") > 40, 1).otherwise(0).alias("y"))
-    return align.outside_labels(i, outside, "l_shipdate", ["l_returnflag"], "y").select("l_orderkey", "l_linenumber", "y", "valid")
-
-
-# the same joins over whole axes: all hours, all customers, all label rows
-
-
 @query(
     f"WITH {HOURLY}, want AS (SELECT CAST(h + to_minutes(CAST(((epoch_us(h) // 3600000000) % 6) * 10 AS INT)) AS TIMESTAMP) AS w, n FROM hourly),"
     " m AS (SELECT w, want.n, h, x, row_number() OVER (PARTITION BY w ORDER BY abs(epoch_us(w) - epoch_us(h)), h DESC) AS k FROM want JOIN hourly ON abs(epoch_us(w) - epoch_us(h)) <= 5400000000)"
     f" SELECT w, h, n, {q('x', 'x')} FROM m WHERE k = 1"
 )
-def nearest_time_join_whole(spark, sf):
+def nearest_time_join(spark, sf):
     h = hourly(spark, sf)
     hour = F.floor(F.unix_micros(F.col("h").cast("timestamp")) / F.lit(3_600_000_000)).cast("long")
     moved = F.timestamp_micros(F.unix_micros(F.col("h").cast("timestamp")) + (hour % 6) * 600_000_000).cast("timestamp_ntz")
     return shown(align.nearest_time(h.select(moved.alias("w"), "n"), h.select("h", "x"), "w", "h", 5400), "x", keep=["w", "h", "n"])
 
 
-_WHOLE_GRIDS = "p AS (SELECT s_suppkey, s_acctbal / 1e3 AS x FROM supplier), g AS (SELECT DISTINCT CAST(floor(c_acctbal / 500) AS DOUBLE) * 5e-1 AS gx FROM customer)"
+_GRIDS = "p AS (SELECT s_suppkey, s_acctbal / 1e3 AS x FROM supplier), g AS (SELECT DISTINCT CAST(floor(c_acctbal / 500) AS DOUBLE) * 5e-1 AS gx FROM customer)"
 
 
-def _whole_grids(spark, sf):
+def _grids(spark, sf):
     p = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1e3).alias("x"))
     return p, table(spark, sf, "customer").select((F.floor(F.col("c_acctbal") / 500).cast("double") * 0.5).alias("gx")).distinct()
 
 
-@query(f"WITH {_WHOLE_GRIDS}, m AS (SELECT s_suppkey, gx, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(x - gx), gx DESC) AS k FROM p JOIN g ON abs(x - gx) <= 6e-1) SELECT p.s_suppkey, m.gx FROM p LEFT JOIN m ON m.s_suppkey = p.s_suppkey AND k = 1")
-def nearest_grid_join_whole(spark, sf):
-    p, g = _whole_grids(spark, sf)
+@query(f"WITH {_GRIDS}, m AS (SELECT s_suppkey, gx, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(x - gx), gx DESC) AS k FROM p JOIN g ON abs(x - gx) <= 6e-1) SELECT p.s_suppkey, m.gx FROM p LEFT JOIN m ON m.s_suppkey = p.s_suppkey AND k = 1")
+def nearest_grid_join(spark, sf):
+    p, g = _grids(spark, sf)
     return p.join(axes.nearest_map(p, g, "x", "gx", 0.6), "x", "left").select("s_suppkey", "gx")
 
 
-@query(f"WITH {_WHOLE_GRIDS}, m AS (SELECT s_suppkey, gx, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(x - gx), gx) AS k FROM p CROSS JOIN g) SELECT s_suppkey, gx FROM m WHERE k = 1")
-def nearest_first_join_whole(spark, sf):
-    p, g = _whole_grids(spark, sf)
+@query(f"WITH {_GRIDS}, m AS (SELECT s_suppkey, gx, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(x - gx), gx) AS k FROM p CROSS JOIN g) SELECT s_suppkey, gx FROM m WHERE k = 1")
+def nearest_first_join(spark, sf):
+    p, g = _grids(spark, sf)
     return p.join(axes.nearest_map(p, g, "x", "gx", ties="smaller"), "x").select("s_suppkey", "gx")
 
 
@@ -394,7 +341,7 @@ def nearest_first_join_whole(spark, sf):
     "WITH l AS (SELECT CAST(l_shipdate AS DATE) AS d, l_returnflag AS f, min(CASE WHEN l_quantity > 40 THEN 1 ELSE 0 END) AS y FROM lineitem GROUP BY 1, 2)"
     " SELECT l_orderkey, l_linenumber, CAST(coalesce(l.y, 0) AS INT) AS y, l.y IS NOT NULL AS valid FROM lineitem i LEFT JOIN l ON l.d = CAST(i.l_shipdate AS DATE) AND l.f = i.l_returnflag"
 )
-def external_label_join_whole(spark, sf):
+def external_label_join(spark, sf):
     i = table(spark, sf, "lineitem")
     outside = i.select(F.to_date("l_shipdate").alias("date"), "l_returnflag", F.when(F.col("l_quantity") > 40, 1).otherwise(0).alias("y"))
     return align.outside_labels(i, outside, "l_shipdate", ["l_returnflag"], "y").select("l_orderkey", "l_linenumber", "y", "valid")
@@ -417,6 +364,17 @@ def merge_inner(spark, sf):
     return shown(align.common([c.where("n > 2").select(*KEY, "v"), c.where("u > 4000").select(*KEY, "u")], KEY), "v", "u", keep=KEY)
 
 
+@query(
+    f"WITH {CUBE}, a AS (SELECT * FROM cube WHERE t % 3 <> 0), b AS (SELECT * FROM cube WHERE t % 3 <> 1) SELECT coalesce(a.t, b.t) AS t, coalesce(a.lat_i, b.lat_i) AS lat_i, coalesce(a.lon_i, b.lon_i) AS lon_i,"
+    f" {q('coalesce(a.v, b.v)', 'v')}, {q('b.u', 'u')}, a.n AS n FROM a FULL JOIN b ON a.t = b.t AND a.lat_i = b.lat_i AND a.lon_i = b.lon_i"
+)
+def merge_outer(spark, sf):
+    """Two parts that overlap in time, one without u and one without n."""
+    c = cube(spark, sf)
+    parts = [c.where("t % 3 <> 0").select(*KEY, "v", "n"), c.where("t % 3 <> 1").select(*KEY, "v", "u")]
+    return shown(align.merged(parts, KEY), "v", "u", keep=[*KEY, "n"])
+
+
 # ---- labels and weights
 
 _EVENT = "y AS (SELECT t, lat_i, lon_i, v, u, CAST(coalesce(v > 150500, false) AS INT) AS hit, CAST(coalesce(u > 4600, false) AS INT) AS pred FROM dense)"
@@ -642,14 +600,50 @@ def calibrate(spark, sf):
 
 
 @query(
-    "WITH j AS (SELECT toxic AS hit, CASE WHEN quality = 1 THEN 0 ELSE 1 END AS pred, doc_id % 5 <> 0 AS valid FROM labels), y AS (SELECT hit, pred FROM j WHERE valid), c AS (SELECT " + _COUNTS + f", count(*) AS valid_samples FROM y) SELECT valid_samples, tp, fp, fn, tn, {_METRICS} FROM c"
+    "WITH j AS (SELECT l.toxic AS hit, CASE WHEN l.quality = 1 THEN 0 ELSE 1 END AS pred FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id), y AS (SELECT hit, pred FROM j WHERE hit IS NOT NULL), c AS (SELECT " + _COUNTS
+    + f", count(*) AS valid_samples FROM y) SELECT valid_samples, tp, fp, fn, tn, {_METRICS} FROM c"
 )
 def external_report(spark, sf):
-    valid = table(spark, sf, "labels").where("doc_id % 5 <> 0").select("toxic", F.when(F.col("quality") == 1, 0).otherwise(1).alias("pred"))
-    made = evaluate.confusion(valid, "toxic", "pred").withColumn("valid_samples", F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))
+    """Documents without a label are no valid samples."""
+    both = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
+    made = evaluate.agreement(both.select("toxic", F.when(F.col("quality") == 1, 0).otherwise(1).alias("pred")), "toxic", "pred")
     return shown(made, *_SCORES, keep=["valid_samples", *_COUNT_NAMES])
 
 
+@query(
+    f"WITH {DENSE}, y AS (SELECT CASE WHEN v IS NOT NULL THEN CAST(v > 150500 AS INT) END AS hit, CASE WHEN u IS NOT NULL THEN CAST(n > 2 AS INT) END AS pred FROM dense), z AS (SELECT * FROM y WHERE hit IS NOT NULL AND pred IS NOT NULL),"
+    f" c AS (SELECT {_COUNTS}, count(*) AS valid_samples, CAST(sum(hit) AS BIGINT) AS events_true, CAST(sum(pred) AS BIGINT) AS events_pred FROM z) SELECT valid_samples, events_true, events_pred, tp, fp, fn, tn, {_METRICS} FROM c"
+)
+def labels_agreement(spark, sf):
+    d = dense(spark, sf)
+    both = d.select(F.when(F.col("v").isNotNull(), (F.col("v") > 150500).cast("int")).alias("hit"), F.when(F.col("u").isNotNull(), (F.col("n") > 2).cast("int")).alias("pred"))
+    return shown(evaluate.agreement(both, "hit", "pred"), *_SCORES, keep=["valid_samples", "events_true", "events_pred", *_COUNT_NAMES])
+
+
+_REPORT = ["rmse", "mae", "r2", "f1", "recall", "precision", "balanced_accuracy"]
+
+
+def _report_sql() -> str:
+    scores = [(n, x) for n, x in (("f1", _R("2 * tp", "2 * tp + fp + fn")), ("recall", _R("tp", "tp + fn")), ("precision", _R("tp", "tp + fp")))]
+    scores.append(("balanced_accuracy", f"coalesce(({_R('tp', 'tp + fn')} + {_R('tn', 'tn + fp')}) / nullif(CASE WHEN tp + fn > 0 THEN 1 ELSE 0 END + CASE WHEN tn + fp > 0 THEN 1 ELSE 0 END, 0), 0)"))
+    errors = "sqrt(avg(pow(p - t, 2))) AS rmse, avg(abs(p - t)) AS mae, CASE WHEN var_pop(t) > 0 THEN 1 - avg(pow(p - t, 2)) / var_pop(t) ELSE 0 END AS r2"
+    return (
+        f"WITH {CUBE}, y AS (SELECT CAST(t // 12 AS VARCHAR) AS year, v - 150000 AS t, u * 33 - 150000 AS p, CAST(v > 150500 AS INT) AS hit, CAST(u * 33 > 150500 AS INT) AS pred, CAST(u * 33 > 149000 AS INT) AS opt FROM cube),"
+        f" a AS (SELECT coalesce(year, 'ALL') AS year, {errors}, {_COUNTS} FROM y GROUP BY ROLLUP (year)), o AS (SELECT 'OPT' AS year, {errors}, {_COUNTS.replace('pred', 'opt')} FROM y), r AS (SELECT * FROM a UNION ALL SELECT * FROM o)"
+        f" SELECT year, {q('rmse', 'rmse')}, {q('mae', 'mae')}, {q('r2', 'r2')}, {', '.join(q(x, n) for n, x in scores)}, tp + fn AS events_true, tp + fp AS events_pred FROM r"
+    )
+
+
+@query(_report_sql())
+def report_opt(spark, sf):
+    p = F.col("u") * 33
+    y = cube(spark, sf).select(
+        F.floor(F.col("t") / 12).cast("string").alias("year"), (F.col("v") - 150000).alias("anomaly"), (p - 150000).alias("predicted"),
+        labels.binarised(F.col("v"), 150500.0, "heat").alias("hit"), labels.binarised(p, 150500.0, "heat").alias("pred"), labels.binarised(p, 149000.0, "heat").alias("opt"),
+    )
+    return shown(evaluate.report(y, "year", "hit", "pred", "anomaly", "predicted", "opt"), *_REPORT, keep=["year", "events_true", "events_pred"])
+
+
 # ---- profiles
 
 _NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -745,13 +739,18 @@ def rmse_per_cell(spark, sf):
 
 @query(f"WITH {CUBE} SELECT CAST(t % 12 + 1 AS INT) AS month, lat_i, lon_i, {q('avg(v)', 'v')}, {q('avg(u)', 'u')} FROM cube GROUP BY 1, 2, 3")
 def monthly_maps(spark, sf):
-    made = cube(spark, sf).groupBy((F.col("t") % 12 + 1).alias("month"), "lat_i", "lon_i").agg(F.avg("v").alias("v"), F.avg("u").alias("u"))
+    made = profile.monthly_maps(cube(spark, sf).withColumn("month", F.col("t") % 12 + 1), F.col("month"), ["v", "u"], ["lat_i", "lon_i"])
     return shown(made, "v", "u", keep=["month", "lat_i", "lon_i"])
 
 
 @query(f"WITH {CUBE} SELECT t, {q('avg(v)', 'mean_v')}, {q('max(v)', 'max_v')} FROM cube GROUP BY 1")
 def spatial_mean_series(spark, sf):
-    return shown(cube(spark, sf).groupBy("t").agg(F.avg("v").alias("mean_v"), F.max("v").alias("max_v")), "mean_v", "max_v", keep=["t"])
+    return shown(profile.means_and_peaks(cube(spark, sf), ["t"], ["v"]), "mean_v", "max_v", keep=["t"])
+
+
+@query(f"WITH {CUBE} SELECT lat_i, lon_i, {q('avg(v)', 'mean_v')}, {q('max(v)', 'max_v')}, {q('avg(u)', 'mean_u')}, {q('max(u)', 'max_u')} FROM cube GROUP BY 1, 2")
+def temporal_maps(spark, sf):
+    return shown(profile.means_and_peaks(cube(spark, sf), ["lat_i", "lon_i"], ["v", "u"]), "mean_v", "max_v", "mean_u", "max_u", keep=["lat_i", "lon_i"])
 
 
 @query(f"WITH {CUBE}, r AS (SELECT quantile_cont(v - 150000, 0.02) AS a, quantile_cont(v - 150000, 0.98) AS b FROM cube) SELECT {q('-greatest(abs(a), abs(b))', 'low')}, {q('greatest(abs(a), abs(b))', 'high')} FROM r")

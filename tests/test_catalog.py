@@ -44,7 +44,7 @@ def test_entry_points(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_whole_axes_are_registered(spark):
+def test_axes_are_whole(spark):
     hours = spark.read.parquet(f"{SF}/events.parquet").selectExpr("date_trunc('hour', ts) AS h").distinct().count()
-    assert catalog.QUERIES["nearest_time_join_whole"](spark, SF).count() == hours
-    assert catalog.QUERIES["external_label_join_whole"](spark, SF).where("NOT valid").count() == 0
+    assert catalog.QUERIES["nearest_time_join"](spark, SF).count() == hours
+    assert catalog.QUERIES["external_label_join"](spark, SF).where("NOT valid").count() == 0
