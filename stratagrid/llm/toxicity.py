@@ -1,14 +1,14 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 A linear classifier over hashed features of a text (its distinct words and their beginnings), each divided by the
-root of their number, learns from confirmed toxic texts and from unlabelled ones. With class prior p, the risk is
+root of the number of distinct words, learns from confirmed toxic texts and from unlabelled ones. With class prior p, the risk is
 p R_P(+) + max(0, R_U(-) - p R_P(-)): the second term is the risk of the unlabelled texts as negatives, corrected
 for the positives among them; where it falls below zero, the step goes up its slope instead of down, so that the
 model doesn't fit the unlabelled positives as negatives.
 
 Learning takes bounded samples (MOST_POSITIVE of either label, MOST_UNLABELLED documents, chosen by a hash of the
-id). Executors find and count their features; the driver gets counts of BINS bins, then each sampled document's
-features among the CHOSEN ones. Scoring reads every whole text where it lies, without a shuffle.
+id). Executors find and count their features and choose CHOSEN of them; the driver gets each sampled document's
+features among these. Scoring reads every whole text where it lies, without a shuffle.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from .common import Scratch, holdout, shared_dir, slices
 MOST_POSITIVE, MOST_UNLABELLED = 4000, 8000
 #: Hashed features; those that the model weighs, of all that LEAST_DOCS sampled documents have; letters of words' beginnings.
 BINS, CHOSEN, LEAST_DOCS, STARTS = 1 << 18, 512, 4, (4, 5, 6, 7)
-#: Features count this much divided by the root of their number in the text.
-SCALE = 10.0
+#: Features count this much divided by the root of the number of the text's distinct words.
+SCALE = 7.0
 #: Words whose features a worker remembers.
 MEMO = 200_000
 #: A text whose score is at least this counts as toxic.
@@ -42,23 +42,28 @@ def words_of(text: str | None) -> set[str]:
 
 
 class Features:
-    """Numbers of a text's features: its distinct words and their beginnings, hashed into BINS bins."""
+    """Numbers of a text's features: its distinct words and their beginnings, hashed into BINS bins; of these, those in only."""
 
-    def __init__(self):
-        self.memo: dict[str, tuple[int, ...]] = {}
+    def __init__(self, only: frozenset[int] | None = None):
+        self.only, self.memo = only, {}
 
     def _of_word(self, word: str) -> tuple[int, ...]:
         if len(self.memo) > MEMO:
             self.memo.clear()
         parts = [word, *(f"^{word[:k]}" for k in STARTS if len(word) > k)]
-        self.memo[word] = found = tuple(zlib.crc32(x.encode()) % BINS for x in parts)
+        found = (zlib.crc32(x.encode()) % BINS for x in parts)
+        self.memo[word] = found = tuple(i for i in found if self.only is None or i in self.only)
         return found
 
-    def of(self, text: str | None) -> set[int]:
-        memo, found = self.memo, set()
-        for word in words_of(text):
-            found.update(memo.get(word) or self._of_word(word))
-        return found
+    def of(self, text: str | None) -> tuple[set[int], int]:
+        """Features, and the number of distinct words, 1 at least."""
+        get, found, words = self.memo.get, set(), words_of(text)
+        for word in words:
+            if (own := get(word)) is None:
+                own = self._of_word(word)
+            if own:
+                found.update(own)
+        return found, max(1, len(words))
 
 
 def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 800, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -115,70 +120,49 @@ class ToxicModel:
     """Log-odds weights of features; score() is the probability of label 1."""
 
     def __init__(self, weights: dict[int, float], bias: float):
-        self.weights, self.bias, self.features = weights, bias, Features()
-        self.known = weights.keys()
+        self.weights, self.bias, self.features = weights, bias, Features(frozenset(weights))
 
     def score(self, text: str | None) -> float:
-        found = self.features.of(text)
-        z = self.bias + sum(self.weights[i] for i in sorted(self.known & found)) * SCALE / max(1, len(found)) ** 0.5
+        found, words = self.features.of(text)
+        z = self.bias + sum(self.weights[i] for i in sorted(found)) * SCALE / words**0.5
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
 def _found(docs: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
-    """(kind, doc_id, features) of the documents whose ids keys (doc_id, kind) has, a bounded sample."""
+    """(kind, doc_id, words, features) of the documents whose ids keys (doc_id, kind) has, a bounded sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in slices(batches, "text"):
-            found = [np.array(sorted(features.of(t)), "<i4").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("doc_id"), pa.array(found, pa.binary())], names=["kind", "doc_id", "features"])
+            found = [features.of(t) for t in batch.column("text").to_pylist()]
+            columns = pa.array([n for _, n in found], pa.int32()), pa.array([sorted(f) for f, _ in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("doc_id"), *columns], names=["kind", "doc_id", "words", "features"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(keys), "doc_id").select("kind", "doc_id", "text")
-    return scratch.table(rows.mapInArrow(run, "kind string, doc_id long, features binary"), "sample")
-
+    return scratch.table(rows.mapInArrow(run, "kind string, doc_id long, words int, features array<int>"), "sample")
 
-def _counted(found: DataFrame) -> dict[str, tuple[int, np.ndarray]]:
-    """By kind: its documents, and how many of them have each feature."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for kind, features in zip(batch.column("kind").to_pylist(), batch.column("features").to_pylist(), strict=True):
-                own = counts.setdefault(kind, np.zeros(BINS + 1, np.int64))
-                own[np.frombuffer(features, "<i4")] += 1
-                own[BINS] += 1
-        for kind, own in counts.items():
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at)), pa.array(at.astype(np.int32)), pa.array(own[at])], names=["kind", "bin", "n"])
-
-    sums = found.mapInArrow(run, "kind string, bin int, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).toPandas()  # three kinds, BINS + 1 rows each at most
-    out = {}
-    for kind, own in sums.groupby("kind"):
-        counts = np.zeros(BINS + 1, np.int64)
-        counts[own["bin"].to_numpy()] = own["n"].to_numpy()
-        out[kind] = (int(counts[BINS]), counts[:BINS])
-    return out
+def _chosen(found: DataFrame, toxic: int, any_: int) -> np.ndarray:
+    """Features that tell the toxic documents from any, by the two-proportion z statistic; ties by their numbers."""
+    k, c = F.col("k") / toxic, F.col("c") / any_
+    counts = found.where("kind <> 'clean'").select("kind", F.explode("features").alias("i")).groupBy("i").agg(F.count_if(F.col("kind") == "toxic").alias("k"), F.count_if(F.col("kind") == "any").alias("c"))
+    pooled = (F.col("k") + F.col("c")) / (toxic + any_)
+    z = F.abs(k - c) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / toxic + 1 / any_))
+    rows = counts.where((F.col("k") > 0) & (F.col("k") + F.col("c") >= LEAST_DOCS)).select("i", z.alias("z")).orderBy(F.desc("z"), "i").limit(CHOSEN).collect()
+    return np.array([r["i"] for r in rows], np.int64)
 
 
 def _matrices(found: DataFrame, chosen: np.ndarray) -> dict[str, np.ndarray]:
     """By kind: a row for each sampled document, in order of the ids, a column for each chosen feature."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        column = np.full(BINS, -1)
-        column[chosen] = np.arange(len(chosen))
-        for batch in batches:
-            found = [np.frombuffer(f, "<i4") for f in batch.column("features").to_pylist()]
-            at = [column[f] for f in found]
-            own = pa.array([a[a >= 0].astype("<i4").tobytes() for a in at], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("doc_id"), pa.array([len(f) for f in found], pa.int32()), own], names=["kind", "doc_id", "n", "at"])
-
-    rows = found.mapInArrow(run, "kind string, doc_id long, n int, at binary").collect()  # the samples' bounds times CHOSEN
-    out = {}
-    for kind in {r["kind"] for r in rows}:
-        own = sorted((r for r in rows if r["kind"] == kind), key=lambda r: (r["doc_id"], r["n"], bytes(r["at"])))
-        out[kind] = x = np.zeros((len(own), len(chosen)), np.float32)
-        for i, r in enumerate(own):
-            x[i, np.frombuffer(r["at"], "<i4")] = SCALE / max(1, r["n"]) ** 0.5
+    own = F.array_intersect("features", F.array(*(F.lit(int(i)).cast("int") for i in chosen)))
+    rows = found.select("kind", "doc_id", "words", own.alias("own")).orderBy("kind", "doc_id", "words", "own").toArrow()  # the samples' bounds times CHOSEN
+    column = {int(i): k for k, i in enumerate(chosen)}
+    kinds, words, lists, out = rows.column("kind").to_pylist(), rows.column("words").to_pylist(), rows.column("own").to_pylist(), {}
+    for kind in sorted(set(kinds)):
+        at = [k for k, x in enumerate(kinds) if x == kind]
+        out[kind] = x = np.zeros((len(at), len(chosen)), np.float32)
+        for i, k in enumerate(at):
+            x[i, [column[f] for f in lists[k]]] = SCALE / words[k] ** 0.5
     return out
 
 
@@ -201,15 +185,10 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     clean = usable.where("toxic = 0").where(below(most_positive / max(1, n - positives), 3)).select("doc_id", F.lit("clean").alias("kind"))
     any_ = docs.where(~holdout()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("any").alias("kind")).where(below(most_unlabelled / max(1, total) * 4 / 3, 2))
     found = _found(docs, toxic.union(clean).union(any_).distinct(), scratch)
-    counts = _counted(found)
+    counts = {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}
     if "toxic" not in counts or "any" not in counts:
         return ToxicModel({}, -30.0)
-    (a, k), (b, c) = counts["toxic"], counts["any"]
-    # features that tell the samples apart most, by the two-proportion z statistic; ties by their numbers
-    pooled = (k + c) / (a + b)
-    z = np.abs(k / a - c / b) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / a + 1 / b))
-    fits = np.flatnonzero((k > 0) & (k + c >= LEAST_DOCS))
-    chosen = fits[np.argsort(-z[fits], kind="stable")[:CHOSEN]]
+    chosen = _chosen(found, counts["toxic"], counts["any"])
     if not len(chosen):
         return ToxicModel({}, float(np.log(prior / (1 - prior))))
     samples = _matrices(found, chosen)
