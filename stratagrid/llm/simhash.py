@@ -8,8 +8,10 @@ the other side, so that only those near the border visit both. Each leaf is a sh
 and the visitors whose balls cross into it, and finds their exact pairs in full 64-bit distance.
 
 Equal fingerprints are one node from the start, and a leaf gives a least spanning forest of its links (the nearest
-pairs first), never all pairs. Leaves that hold more than LEAF_MOST fingerprints split into blocks that are
-compared block by block. Links may be verified by the Jaccard similarity of their texts' shingles: first those of
+pairs first), never all pairs. A shard's size grows slowly with the input (CELL_POWER), so that visits to other
+shards stay few; within its task a shard of over LEAF_MOST fingerprints has a tree of its own, down to leaves of
+about LEAF_AIM. Nothing is cut off at any size. Several independent fingerprints of a text go through one pass of the
+same trees, each with shards of its own. Links may be verified by the Jaccard similarity of their texts' shingles: first those of
 the forest, so that a group of near-equal texts takes about as many comparisons as it has members. Where some fail,
 the other candidate pairs between the parts that are still apart follow, a growing share of them in each round, so
 that at the end each candidate pair was verified or lies within a part that verified links connect.
@@ -30,10 +32,12 @@ from .common import Scratch, shared_dir, slices
 from .components import components
 
 SEED = 42
-#: Fingerprints of a leaf that the trees aim at, leaves of a tree at most, sampled fingerprints for each leaf, fingerprints of a block.
-LEAF_AIM, LEAVES_MOST, LEAF_SAMPLE, LEAF_MOST = 1024, 4096, 16, 8192
-#: Pairs that a leaf holds before it keeps only their spanning forest.
-PAIRS_MOST = 2_000_000
+#: Fingerprints of a leaf that trees aim at, those of a shard beyond which it has a tree of its own, sampled fingerprints for each leaf.
+LEAF_AIM, LEAF_MOST, LEAF_SAMPLE = 1024, 2048, 16
+#: Shards of a tree: fingerprints / LEAF_AIM to this power.
+CELL_POWER = 0.65
+#: Comparisons at a time, and pairs that a leaf holds beside a spanning forest before they join it.
+PAIRS_MOST = 1 << 18
 #: Of the pairs within a group of candidates, the first round tries so many for a text, each later one so many times more; texts of a block.
 TRIED_FIRST, GROUP_BLOCK = 8, 2048
 
@@ -60,29 +64,47 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def fingerprints_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of each document, whose hashes lie together: bit set if it is set in over half of them; 0 without any."""
+    out = np.zeros(len(counts), np.uint64)
+    some = np.flatnonzero(counts)
+    if not len(some):
+        return out
+    # runs of at most 255 hashes, so that sums of single bits fit in the bytes of a word
+    n = counts[some].astype(np.int64)
+    runs = -(-n // 255)
+    first_run = np.cumsum(runs) - runs
+    starts = np.repeat(np.cumsum(n) - n, runs) + 255 * (np.arange(int(runs.sum())) - np.repeat(first_run, runs))
+    sums = np.empty((len(starts), 8), np.uint64)
+    for k in range(8):  # bit k of each byte
+        sums[:, k] = np.add.reduceat((hashes >> np.uint64(k)) & np.uint64(0x0101010101010101), starts)
+    ones = np.add.reduceat(sums.astype("<u8").view(np.uint8).reshape(-1, 8, 8), first_run, axis=0, dtype=np.int64)  # [document, k, byte]
+    bits = (2 * ones > n[:, None, None]).transpose(0, 2, 1).reshape(-1, 64)
+    out[some] = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
 def fingerprint_of(hashes: np.ndarray) -> int:
     """Bit set if it is set in over half of the hashes; 0 without any."""
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)].astype("<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return sum(1 << int(b) for b in np.flatnonzero(2 * ones > len(hashes)))
+    return int(fingerprints_of(hashes, np.array([len(hashes)]))[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, prints: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key (a hash of the text) and fp0, fp1, ... (fingerprints as signed longs) of each row."""
+def fingerprints(docs: DataFrame, words: int = 3, prints: int = 1, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, row (of row_col, else 0), key (a hash of the text) and fp0, fp1, ... (fingerprints as signed longs) of each row."""
     shared_dir(docs.sparkSession)
     names = [f"fp{k}" for k in range(prints)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            hashes = [shingle_hashes(t, words) for t in batch.column("text").to_pylist()]
-            fps = [np.array([fingerprint_of(_mixed(h, k)) for h in hashes], np.uint64).view(np.int64) for k in range(prints)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *map(pa.array, fps)], names=["doc_id", "key", *names])
+            found = [shingle_hashes(t, words) for t in batch.column("text").to_pylist()]
+            hashes, counts = np.concatenate(found), np.array([len(h) for h in found])
+            fps = [fingerprints_of(_mixed(hashes, k), counts).view(np.int64) for k in range(prints)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "key")), *map(pa.array, fps)], names=["doc_id", "row", "key", *names])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
-    return rows.mapInArrow(run, "doc_id long, key long, " + ", ".join(f"{n} long" for n in names))
+    row = F.col(row_col).cast("long") if row_col else F.lit(0).cast("long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), text.alias("text"), F.xxhash64(text).alias("key"))
+    return rows.mapInArrow(run, "doc_id long, row long, key long, " + ", ".join(f"{n} long" for n in names))
 
 
 class VantageTree:
@@ -134,10 +156,13 @@ class VantageTree:
         return np.concatenate(rows), np.concatenate(leaves)
 
 
-def _spanning(i: np.ndarray, j: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
-    """Indexes of pairs that form a least spanning forest by d. Each round hooks roots onto smaller ones."""
-    root, kept = np.arange(n), [np.zeros(0, np.int64)]
-    for level in np.unique(d):
+def _spanning(i: np.ndarray, j: np.ndarray, d: np.ndarray, n: int, roots: np.ndarray | None = None) -> np.ndarray:
+    """Indexes of pairs that form a least spanning forest by d. Each round hooks roots onto smaller ones.
+
+    roots, if given, gets for each d the parts that pairs up to it connect.
+    """
+    root, kept = np.arange(n, dtype=np.int32), [np.zeros(0, np.int64)]
+    for level in np.unique(d) if roots is None else range(len(roots)):
         at = np.flatnonzero(d == level)
         while len(at):
             x, y = root[i[at]], root[j[at]]
@@ -151,86 +176,92 @@ def _spanning(i: np.ndarray, j: np.ndarray, d: np.ndarray, n: int) -> np.ndarray
             root[high[first]] = low[first]
             while (jumped := root[root] != root).any():
                 root[jumped] = root[root[jumped]]
+        if roots is not None:
+            roots[level] = root
     return np.concatenate(kept)
 
 
 def forest(home: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) that connect whatever home x home and visitors x home pairs within the radius connect, the nearest first."""
+    """Links (a, b) that connect whatever home x home and visitors x home pairs within the radius connect, the nearest first.
+
+    Of new pairs, those whose ends are connected already by links no longer than they are go at once.
+    """
     both = np.concatenate([home, visitors])
-    held, total = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))], 0
-    step = max(1, (1 << 22) // max(1, len(home)))
+    roots = np.tile(np.arange(len(both), dtype=np.int32), (radius + 1, 1))
+    held, total = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint8))], 0
+    step = max(1, PAIRS_MOST // max(1, len(home)))
     for a in range(0, len(both), step):
         d = np.bitwise_count(both[a : a + step, None] ^ home[None, :])
         i, j = np.nonzero(d <= radius)
-        fits = (i + a >= len(home)) | (i + a > j)  # each pair of home once
-        held.append(((i + a)[fits], j[fits], d[i[fits], j[fits]]))
-        total += len(held[-1][0])
-        if total > PAIRS_MOST or a + step >= len(both):
+        d, i, j = d[i, j], (i + a).astype(np.int32), j.astype(np.int32)
+        fits = ((i >= len(home)) | (i > j)) & (roots[d, i] != roots[d, j])  # each pair of home once
+        if fits.any():
+            held.append((i[fits], j[fits], d[fits]))
+            total += len(held[-1][0])
+        if total > PAIRS_MOST or (total and a + step >= len(both)):
             i, j, d = (np.concatenate(x) for x in zip(*held, strict=True))
-            kept = _spanning(i, j, d, len(both))
-            held, total = [(i[kept], j[kept], d[kept])], len(kept)
+            kept = _spanning(i, j, d, len(both), roots)
+            held, total = [(i[kept], j[kept], d[kept])], 0
     i, j, _ = held[0]
     return both[i], both[j]
 
 
+def routed(tree: VantageTree, fps: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, at home there) of each leaf that a fingerprint is dealt to; home: False for those that only visit.
+
+    Of two leaves whose fingerprints may meet, that of the lower one visits the higher one.
+    """
+    row, leaf = tree.route(fps, 0)
+    own = np.full(len(fps), -1)
+    own[row] = leaf
+    own[~home] = -1
+    row, leaf = tree.route(fps, tree.radius)
+    fits = leaf >= own[row]
+    row, leaf = row[fits], leaf[fits]
+    return row, leaf, leaf == own[row]
+
+
+def shard_links(fps: np.ndarray, home: np.ndarray, radius: int, mask: int, part_radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a shard (see forest); a large one is cut by a tree of its own."""
+    if home.sum() <= LEAF_MOST:
+        return forest(fps[home], fps[~home], radius)
+    own = fps[home]
+    leaves = len(own) // LEAF_AIM
+    sample = own[:: max(1, len(own) // (leaves * 4 * LEAF_SAMPLE))]
+    row, leaf, at_home = routed(tree := VantageTree(mask, part_radius, sample, leaves, 5), fps, home)
+    order = np.argsort(leaf, kind="stable")
+    row, at_home, ends = row[order], at_home[order], np.searchsorted(leaf[order], np.arange(tree.leaves + 1))
+    found = [forest(fps[row[a:b]][at_home[a:b]], fps[row[a:b]][~at_home[a:b]], radius) for a, b in zip(ends, ends[1:], strict=False)]
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
 def links(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that span the components of distinct fingerprints within the radius. fps: one long column fp."""
+    """Links (print, a, b) that span the components of distinct fingerprints within the radius. fps: print (0, 1, ...), fp."""
     spark = fps.sparkSession
-    n = fps.count()
-    leaves = int(min(LEAVES_MOST, max(1, n // LEAF_AIM)))
-    sample = [r[0] for r in fps.select(F.col("fp")).orderBy(F.xxhash64("fp"), "fp").limit(leaves * LEAF_SAMPLE).collect()]  # bounded by LEAVES_MOST
-    sample = np.array(sample, np.int64).view(np.uint64)
+    n = max([r["count"] for r in fps.groupBy("print").count().collect()], default=0)
+    cells = max(1, int((n / LEAF_AIM) ** CELL_POWER))
+    # a hash below a share of its range: some LEAF_SAMPLE fingerprints for each shard; all prints share the trees
+    below = F.pmod(F.xxhash64("fp", F.lit(9)), F.lit(1 << 40)) < int(min(1.0, 4 * cells * LEAF_SAMPLE / max(1, n)) * (1 << 40))
+    sample = np.sort(np.array([r[0] for r in fps.where("print = 0").where(below).select("fp").collect()], np.int64).view(np.uint64))
     parts = max(1, (radius + 1) // 2)
     cuts = [64 * k // parts for k in range(parts + 1)]
-    trees = [VantageTree((1 << b) - (1 << a), radius // parts, sample, leaves, 11 + k) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-    shared = spark.sparkContext.broadcast(trees)
-
-    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("fp").to_numpy().view(np.uint64)
-            for k, tree in enumerate(shared.value):
-                leaf, count = np.unique(tree.route(at, 0)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf * parts + k, pa.int64()), pa.array(count, pa.int64())], names=["leaf", "n"])
-
-    held = fps.mapInArrow(homes, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") > LEAF_MOST).collect()  # a row for a leaf at most
-    blocks = spark.sparkContext.broadcast({r["leaf"]: -(-r["n"] // LEAF_MOST) for r in held})
+    masks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    shared = spark.sparkContext.broadcast([VantageTree(m, radius // parts, sample, cells, 11 + k) for k, m in enumerate(masks)])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("fp").to_numpy().view(np.uint64)
+            at, base = batch.column("fp").to_numpy().view(np.uint64), batch.column("print").to_numpy().astype(np.int64) * parts
             for k, tree in enumerate(shared.value):
-                row, leaf = tree.route(at, 0)
-                own = np.empty(len(at), np.int64)
-                own[row] = leaf
-                row, leaf = tree.route(at, tree.radius)
-                # of two leaves, the fingerprint of the lower one visits the higher one
-                row, leaf = row[leaf >= own[row]], leaf[leaf >= own[row]]
-                cell, fp, home = (leaf * parts + k) << 20, at[row], leaf == own[row]
-                yield _cells(cell, fp, home)
-                for split, count in blocks.value.items():
-                    if split % parts == k:
-                        here = cell == split << 20
-                        part = (fp[here] % np.uint64(1000003)).astype(np.int64) % count
-                        for b in range(1, count):  # block 0 has the cell's own number and was dealt above
-                            meets = ~home[here] | (part <= b)
-                            yield _cells(cell[here][meets] + b, fp[here][meets], home[here][meets] & (part[meets] == b))
-
-    def _cells(cell: np.ndarray, fp: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(fp.view(np.int64)), pa.array(home)], names=["cell", "fp", "home"])
-
-    split_by = blocks.value
+                row, leaf, home = routed(tree, at, np.ones(len(at), bool))
+                cell = ((base[row] + k) << 32) + leaf
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(at[row].view(np.int64)), pa.array(home)], names=["cell", "fp", "home"])
 
     def pairs(key, group):  # a pa.Table in and out
-        fp, home = group.column("fp").to_numpy().view(np.uint64), group.column("home").to_numpy()
-        cell = key[0].as_py()
-        count = split_by.get(cell >> 20, 1)
-        if count > 1 and not cell & 0xFFFFF:  # block 0 of a split leaf: of its own fingerprints, those of block 0
-            home = home & ((fp % np.uint64(1000003)).astype(np.int64) % count == 0)
-        a, b = forest(fp[home], fp[~home], radius)
-        return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+        number = key[0].as_py() >> 32
+        a, b = shard_links(group.column("fp").to_numpy().view(np.uint64), group.column("home").to_numpy(), radius, masks[number % parts], radius // parts)
+        return pa.table({"print": pa.array(np.full(len(a), number // parts, np.int32)), "a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    cells = fps.mapInArrow(deal, "cell long, fp long, home boolean")
-    return cells.groupBy("cell").applyInArrow(pairs, "a long, b long")
+    return fps.mapInArrow(deal, "cell long, fp long, home boolean").groupBy("cell").applyInArrow(pairs, "print int, a long, b long")
 
 
 def shingle_sets(keys: DataFrame, docs: DataFrame, words: int, text_col: str = "text") -> DataFrame:
@@ -287,44 +318,41 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str =
     no component, unless all of its ids are null. An empty table gives no rows; further columns aren't read.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.table(fingerprints(docs, words, 1, id_col, text_col).withColumnRenamed("fp0", "fp"), "fingerprints")
+    rows = scratch.table(fingerprints(docs, words, 1, id_col, text_col).select("doc_id", F.col("fp0").alias("fp")), "fingerprints")
     nodes = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    named = _named(nodes, "fp", links(nodes.select("fp"), radius, scratch), scratch)
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = _named(nodes, "fp", links(nodes.select(F.lit(0).alias("print"), "fp"), radius, scratch).select("a", "b"), scratch)
+    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 def _named(nodes: DataFrame, key: str, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, component_id) of nodes (key, least): the smallest `least` of each component."""
+    """(key, first) of nodes (key, least): the smallest `least` of each component."""
     found = components(edges, scratch)
     whole = nodes.join(found.withColumnRenamed("node", key), key, "left").select(key, "least", F.coalesce("component", key).alias("component"))
     whole = scratch.table(whole, "components")
-    least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
-    return whole.join(least, "component").select(key, "component_id")
+    least = whole.groupBy("component").agg(F.min("least").alias("first"))
+    return whole.join(least, "component").select(key, "first")
 
 
-def near_copies(docs: DataFrame, similar: float = 0.8, shingle: int = 5, words: int = 3, radius: int = 7, prints: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, component_id; linked are texts whose sets of shingles are `similar` or more.
+def near_copies(docs: DataFrame, similar: float = 0.8, shingle: int = 5, words: int = 3, radius: int = 7, prints: int = 2, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, component_id, kept, row; linked are texts whose sets of shingles are `similar` or more.
 
     Candidates are texts that agree to `radius` bits in one of `prints` independent fingerprints. Each candidate
-    pair is verified in full, unless verified links connect its texts already. The other terms are those of
-    near_groups.
+    pair is verified in full, unless verified links connect its texts already. kept is true for one row of each
+    component, that of the smallest id (of these, of the smallest row_col, a number that no other row has; without
+    row_col all rows of that id and component are kept). The other terms are those of near_groups.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    rows = scratch.table(fingerprints(docs, words, prints, id_col, text_col), "fingerprints")
+    rows = scratch.table(fingerprints(docs, words, prints, id_col, text_col, row_col), "fingerprints")
     names = [f"fp{k}" for k in range(prints)]
-    texts = scratch.table(rows.groupBy("key").agg(F.min("doc_id").alias("least"), *(F.first(n).alias(n) for n in names)), "texts")
-    pairs = []
-    for n in names:
-        one = scratch.table(texts.groupBy(F.col(n).alias("fp")).agg(F.min("key").alias("key")), f"one-{n}")
-        near = links(one.select("fp"), radius, scratch).distinct()
-        ends = [one.select(F.col("fp").alias(x), F.col("key").alias(f"key_{x}")) for x in ("a", "b")]
-        linked = near.join(ends[0], "a").join(ends[1], "b").select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
-        equal = texts.select(F.col("key").alias("own"), F.col(n).alias("fp")).join(one, "fp").where("own <> key").select(F.col("key").alias("a"), F.col("own").alias("b"))
-        pairs.append(scratch.table(linked.union(equal), f"links-{n}"))
-    every = pairs[0]
-    for p in pairs[1:]:
-        every = every.union(p)
-    tried = scratch.table(every.distinct(), "pairs")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")  # null ids come last
+    texts = scratch.table(rows.groupBy("key").agg(F.min(first).alias("least"), *(F.first(n).alias(n) for n in names)), "texts")
+    each = texts.select("key", F.posexplode(F.array(*names)).alias("print", "fp"))
+    one = scratch.table(each.groupBy("print", "fp").agg(F.min("key").alias("key")), "one")
+    near = links(one.select("print", "fp"), radius, scratch).distinct()
+    ends = [one.select("print", F.col("fp").alias(x), F.col("key").alias(f"key_{x}")) for x in ("a", "b")]
+    linked = near.join(ends[0], ["print", "a"]).join(ends[1], ["print", "b"]).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
+    equal = each.withColumnRenamed("key", "own").join(one, ["print", "fp"]).where("own <> key").select(F.col("key").alias("a"), F.col("own").alias("b"))
+    tried = scratch.table(linked.union(equal).distinct(), "pairs")
     sets = scratch.table(shingle_sets(tried.select(F.col("a").alias("key")).union(tried.select("b")).distinct(), docs, shingle, text_col), "sets")
     # groups that candidate pairs connect, and their parts that verified ones do
     groups = components(tried, Scratch(docs.sparkSession, "near-groups")).select(F.col("node").alias("key"), F.col("component").alias("grp"))
@@ -338,4 +366,4 @@ def near_copies(docs: DataFrame, similar: float = 0.8, shingle: int = 5, words:
         k += 1
         state = scratch.table(state.join(joined, "part", "left").withColumn("part", F.coalesce("component", "part")).drop("component"), f"state{k}")
     named = _named(texts.select("key", "least"), "key", state.select(F.col("key").alias("a"), F.col("part").alias("b")), scratch)
-    return rows.join(named, "key").select("doc_id", "component_id")
+    return rows.join(named, "key").select("doc_id", F.col("first.doc_id").alias("component_id"), first.eqNullSafe(F.col("first")).alias("kept"), "row")
