@@ -11,10 +11,12 @@ Equal fingerprints are one node from the start, and a leaf gives a least spannin
 pairs first), never all pairs. A shard's size grows slowly with the input (CELL_POWER), so that visits to other
 shards stay few; within its task a shard of over LEAF_MOST fingerprints has a tree of its own, down to leaves of
 about LEAF_AIM. Nothing is cut off at any size. Several independent fingerprints of a text go through one pass of the
-same trees, each with shards of its own. Links may be verified by the Jaccard similarity of their texts' shingles: first those of
-the forest, so that a group of near-equal texts takes about as many comparisons as it has members. Where some fail,
-the other candidate pairs between the parts that are still apart follow, a growing share of them in each round, so
-that at the end each candidate pair was verified or lies within a part that verified links connect.
+same trees, each with shards of its own. Links may be verified
+by the Jaccard similarity of their texts' shingles: first each text's nearest pair, then the other links between
+parts that are still apart, at last all candidate pairs between such parts. In large groups these are found by
+prefixes: with a group's shingles in order of their number in it, the rarest first, sets as alike as asked for share
+one among their first few. So at the end each candidate pair was verified, can't be alike enough, or lies within a
+part that verified links connect.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, shared_dir, slices
@@ -38,8 +40,8 @@ LEAF_AIM, LEAF_MOST, LEAF_SAMPLE = 1024, 2048, 16
 CELL_POWER = 0.65
 #: Comparisons at a time, and pairs that a leaf holds beside a spanning forest before they join it.
 PAIRS_MOST = 1 << 18
-#: Of the pairs within a group of candidates, the first round tries so many for a text, each later one so many times more; texts of a block.
-TRIED_FIRST, GROUP_BLOCK = 8, 2048
+#: Texts of a group of candidates whose pairs are all looked at; in larger groups, those with a rare shingle in common.
+GROUP_SMALL = 16
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -284,30 +286,50 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).drop("x", "y")
 
 
-def untried(state: DataFrame, tried: DataFrame, names: list[str], radius: int, similar: float, k: int) -> DataFrame:
-    """Candidate pairs (a, b, part_a, part_b) of round k between parts of a group that are still apart, without those in tried.
-
-    state: key, n (its shingles), fingerprints, grp, members (of grp), part. A hash puts each pair into one round.
-    """
-    apart = state.groupBy("grp").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("grp")
-    rows = state.where((F.col("members") > 2) & (F.col("members") > (0 if not k else TRIED_FIRST**k))).join(apart, "grp", "left_semi")
-    count = F.ceil(F.col("members") / GROUP_BLOCK).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("key", F.lit(5)), count).cast("int"))
-    renamed = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "part", *names)]
-    left = rows.select("grp", "members", F.col("block").alias("i"), F.explode(F.sequence("block", count - 1)).alias("j"), *renamed("a"))
-    right = rows.select("grp", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), *renamed("b"))
-    at = F.pmod(F.xxhash64(F.least("key_a", "key_b"), F.greatest("key_a", "key_b")), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("members")
+def _near(names: list[str], radius: int):
     near = F.lit(False)
     for n in names:
         near |= F.bit_count(F.col(f"{n}_a").bitwiseXOR(F.col(f"{n}_b"))) <= radius
-    fits = (F.col("part_a") != F.col("part_b")) & ((left["i"] < left["j"]) | (F.col("key_a") < F.col("key_b"))) & near & (at < TRIED_FIRST ** (k + 1))
-    # sets of very different size can't be alike
-    fits &= F.least("n_a", "n_b") >= F.lit(similar) * F.greatest("n_a", "n_b")
-    if k:
-        fits &= at >= TRIED_FIRST**k
-    on = (left["grp"] == right["grp"]) & (left["i"] == right["i"]) & (left["j"] == right["j"])
-    found = left.join(right, on & fits).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"), "part_a", "part_b")
-    return found.join(tried, ["a", "b"], "left_anti")
+    return near
+
+
+def _ends(pairs: DataFrame, state: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs (a, b) with columns of state for either end, named with _a and _b behind."""
+    for x in ("a", "b"):
+        pairs = pairs.join(state.select(F.col("key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)), x)
+    return pairs
+
+
+def untried(state: DataFrame, sets: DataFrame, tried: DataFrame, names: list[str], radius: int, similar: float) -> DataFrame:
+    """Candidate pairs (a, b, part_a, part_b) between parts of a group that are still apart, without those in tried and
+    those that can't be as alike.
+
+    state: key, n (its shingles), fingerprints, grp, members (of grp), part.
+    """
+    apart = state.groupBy("grp").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("grp")
+    rows = state.where("members > 2").join(apart, "grp", "left_semi")
+    few = rows.where(F.col("members") <= GROUP_SMALL)
+    sides = [few.select("grp", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "part", *names))) for x in ("a", "b")]
+    sized = F.least("n_a", "n_b") >= F.lit(similar) * F.greatest("n_a", "n_b")
+    found = sides[0].join(sides[1], "grp").where((F.col("key_a") < F.col("key_b")) & (F.col("part_a") != F.col("part_b")) & sized & _near(names, radius))
+    found = found.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "part_a", "part_b")
+
+    many = rows.where(F.col("members") > GROUP_SMALL)
+    each = many.select("grp", "key", "part", "n").join(sets.select("key", "shingles"), "key").select("grp", "key", "part", "n", F.explode("shingles").alias("shingle"))
+    counts = each.groupBy("grp", "shingle").agg(F.count("*").alias("held"))
+    ranked = each.join(counts, ["grp", "shingle"]).withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy("held", "shingle")))
+    least = F.ceil(F.lit(similar) * F.col("n") - 1e-9)  # shingles in common with a set of the least size, none of which may be larger
+    prefix = ranked.where((F.col("pos") <= F.col("n") - least + 1) & (F.col("held") > 1)).drop("held")
+    # the largest part of a group needn't meet itself
+    largest = many.groupBy("grp", "part").agg(F.count("*").alias("size")).groupBy("grp").agg(F.max_by("part", F.struct("size", "part")).alias("largest"))
+    left = prefix.join(largest, "grp").where("part <> largest").select("grp", "shingle", *(F.col(c).alias(f"{c}_a") for c in ("key", "part", "n", "pos")))
+    right = prefix.select("grp", "shingle", *(F.col(c).alias(f"{c}_b") for c in ("key", "part", "n", "pos")))
+    shared = F.ceil(F.lit(similar / (1 + similar)) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    fits = (F.col("part_a") != F.col("part_b")) & sized & (F.col("pos_a") <= F.col("n_a") - shared + 1) & (F.col("pos_b") <= F.col("n_b") - shared + 1)
+    turned = F.col("key_a") < F.col("key_b")
+    met = left.join(right, ["grp", "shingle"]).where(fits).select(*(F.when(turned, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(to) for c, x, y, to in (("key", "a", "b", "a"), ("key", "b", "a", "b"), ("part", "a", "b", "part_a"), ("part", "b", "a", "part_b"))))
+    met = _ends(met.distinct(), many, names).where(_near(names, radius)).select("a", "b", "part_a", "part_b")
+    return found.union(met).join(tried, ["a", "b"], "left_anti")
 
 
 def near_groups(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -356,14 +378,20 @@ def near_copies(docs: DataFrame, similar: float = 0.8, shingle: int = 5, words:
     sets = scratch.table(shingle_sets(tried.select(F.col("a").alias("key")).union(tried.select("b")).distinct(), docs, shingle, text_col), "sets")
     # groups that candidate pairs connect, and their parts that verified ones do
     groups = components(tried, Scratch(docs.sparkSession, "near-groups")).select(F.col("node").alias("key"), F.col("component").alias("grp"))
-    parts = components(verified(tried, sets, similar), Scratch(docs.sparkSession, "near-parts")).select(F.col("node").alias("key"), F.col("component").alias("part"))
-    state = sets.select("key", F.size("shingles").alias("n")).join(texts.select("key", *names), "key").join(groups, "key").join(parts, "key", "left").withColumn("part", F.coalesce("part", "key"))
+    state = sets.select("key", F.size("shingles").alias("n"), F.col("key").alias("part")).join(texts.select("key", *names), "key").join(groups, "key")
     state = scratch.table(state.join(groups.groupBy("grp").agg(F.count("*").alias("members")), "grp"), "state0")
-    most, k = state.agg(F.coalesce(F.max("members"), F.lit(0))).first()[0], 0
-    while most > 2 and (not k or TRIED_FIRST**k < most):
-        found = verified(scratch.table(untried(state, tried, names, radius, similar, k), f"pairs{k}"), sets, similar)
+
+    def merged(state: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+        """state with parts joined that those of the pairs (a, b, part_a, part_b) which are alike connect."""
+        found = verified(scratch.table(pairs, f"pairs{k}"), sets, similar)
         joined = components(found.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")), Scratch(docs.sparkSession, "near-parts")).withColumnRenamed("node", "part")
-        k += 1
-        state = scratch.table(state.join(joined, "part", "left").withColumn("part", F.coalesce("component", "part")).drop("component"), f"state{k}")
+        return scratch.table(state.join(joined, "part", "left").withColumn("part", F.coalesce("component", "part")).drop("component"), f"state{k + 1}")
+
+    far = sum((F.bit_count(F.col(f"{n}_a").bitwiseXOR(F.col(f"{n}_b"))) for n in names), F.lit(0))
+    ranked = _ends(tried, state, names).select("a", "b", F.struct(far.alias("far"), "a", "b").alias("pair"))
+    nearest = ranked.select(F.col("a").alias("key"), "pair").union(ranked.select("b", "pair")).groupBy("key").agg(F.min("pair").alias("pair"))
+    state = merged(state, nearest.select("pair.a", "pair.b").distinct().select("a", "b", F.col("a").alias("part_a"), F.col("b").alias("part_b")), 0)
+    state = merged(state, _ends(tried, state, ["part"]).where("part_a <> part_b"), 1)
+    state = merged(state, untried(state, sets, tried, names, radius, similar), 2)
     named = _named(texts.select("key", "least"), "key", state.select(F.col("key").alias("a"), F.col("part").alias("b")), scratch)
     return rows.join(named, "key").select("doc_id", F.col("first.doc_id").alias("component_id"), first.eqNullSafe(F.col("first")).alias("kept"), "row")

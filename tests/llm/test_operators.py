@@ -293,13 +293,12 @@ def test_verified_links(spark):
     assert len(near) >= 20 and sum(got[i] != i for i in near) >= 0.9 * len(near)
 
 
-@pytest.mark.parametrize("first, block", [(8, 2048), (2, 5)])
-def test_every_candidate_counts(spark, monkeypatch, first, block):
+@pytest.mark.parametrize("small", [64, 16, 2])
+def test_every_candidate_counts(spark, monkeypatch, small):
     """Groups whose similarity scatters about the least one: as brute force over all candidate pairs."""
     import random
 
-    monkeypatch.setattr(simhash, "TRIED_FIRST", first)
-    monkeypatch.setattr(simhash, "GROUP_BLOCK", block)
+    monkeypatch.setattr(simhash, "GROUP_SMALL", small)
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     rows = []
