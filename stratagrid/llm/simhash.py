@@ -12,9 +12,8 @@ pairs first), never all pairs. A shard's size grows slowly with the input (CELL_
 shards stay few; within its task a shard of over LEAF_MOST fingerprints has a tree of its own, down to leaves of
 about LEAF_AIM. Nothing is cut off at any size. Several independent fingerprints of a text go through one pass of the
 same trees, each with shards of its own. Links may be verified
-by the Jaccard similarity of their texts' shingles: first each text's nearest pair, then the other links between
-parts that are still apart, at last all candidate pairs between such parts. In large groups these are found by
-prefixes: with a group's shingles in order of their number in it, the rarest first, sets as alike as asked for share
+by the Jaccard similarity of their texts' shingles: first each text's nearest pair, then in large groups those
+to some central texts, at last all candidate pairs between parts that are still apart. In large groups these are found by prefixes: with a group's shingles in order of their number in it, the rarest first, sets as alike as asked for share
 one among their first few. So at the end each candidate pair was verified, can't be alike enough, or lies within a
 part that verified links connect.
 """
@@ -42,6 +41,8 @@ CELL_POWER = 0.65
 PAIRS_MOST = 1 << 18
 #: Texts of a group of candidates whose pairs are all looked at; in larger groups, those with a rare shingle in common.
 GROUP_SMALL = 16
+#: Texts of a large group whose shingles most others hold, too: those that stand apart meet these first.
+HUBS = 8
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -183,10 +184,11 @@ def _spanning(i: np.ndarray, j: np.ndarray, d: np.ndarray, n: int, roots: np.nda
     return np.concatenate(kept)
 
 
-def forest(home: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) that connect whatever home x home and visitors x home pairs within the radius connect, the nearest first.
+def forest(home: np.ndarray, visitors: np.ndarray, radius: int, earlier: tuple[int, ...] = (), part_radius: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (a, b, distance) that connect whatever home x home and visitors x home pairs within the radius connect, the nearest first.
 
-    Of new pairs, those whose ends are connected already by links no longer than they are go at once.
+    Of new pairs, those whose ends are connected already by links no longer than they are go at once. Pairs
+    that agree to part_radius bits in one of the earlier parts (masks) are left to that part's tree.
     """
     both = np.concatenate([home, visitors])
     roots = np.tile(np.arange(len(both), dtype=np.int32), (radius + 1, 1))
@@ -197,6 +199,8 @@ def forest(home: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.ndar
         i, j = np.nonzero(d <= radius)
         d, i, j = d[i, j], (i + a).astype(np.int32), j.astype(np.int32)
         fits = ((i >= len(home)) | (i > j)) & (roots[d, i] != roots[d, j])  # each pair of home once
+        for mask in earlier:
+            fits &= np.bitwise_count((both[i] ^ both[j]) & np.uint64(mask)) > part_radius
         if fits.any():
             held.append((i[fits], j[fits], d[fits]))
             total += len(held[-1][0])
@@ -204,8 +208,8 @@ def forest(home: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.ndar
             i, j, d = (np.concatenate(x) for x in zip(*held, strict=True))
             kept = _spanning(i, j, d, len(both), roots)
             held, total = [(i[kept], j[kept], d[kept])], 0
-    i, j, _ = held[0]
-    return both[i], both[j]
+    i, j, d = held[0]
+    return both[i], both[j], d
 
 
 def routed(tree: VantageTree, fps: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,22 +227,23 @@ def routed(tree: VantageTree, fps: np.ndarray, home: np.ndarray) -> tuple[np.nda
     return row, leaf, leaf == own[row]
 
 
-def shard_links(fps: np.ndarray, home: np.ndarray, radius: int, mask: int, part_radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a shard (see forest); a large one is cut by a tree of its own."""
+def shard_links(fps: np.ndarray, home: np.ndarray, radius: int, masks: list[int], part: int, part_radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of a shard of a part's tree (see forest); a large one is cut by a tree of its own."""
+    earlier = tuple(masks[:part])
     if home.sum() <= LEAF_MOST:
-        return forest(fps[home], fps[~home], radius)
+        return forest(fps[home], fps[~home], radius, earlier, part_radius)
     own = fps[home]
     leaves = len(own) // LEAF_AIM
     sample = own[:: max(1, len(own) // (leaves * 4 * LEAF_SAMPLE))]
-    row, leaf, at_home = routed(tree := VantageTree(mask, part_radius, sample, leaves, 5), fps, home)
+    row, leaf, at_home = routed(tree := VantageTree(masks[part], part_radius, sample, leaves, 5), fps, home)
     order = np.argsort(leaf, kind="stable")
     row, at_home, ends = row[order], at_home[order], np.searchsorted(leaf[order], np.arange(tree.leaves + 1))
-    found = [forest(fps[row[a:b]][at_home[a:b]], fps[row[a:b]][~at_home[a:b]], radius) for a, b in zip(ends, ends[1:], strict=False)]
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    found = [forest(fps[row[a:b]][at_home[a:b]], fps[row[a:b]][~at_home[a:b]], radius, earlier, part_radius) for a, b in zip(ends, ends[1:], strict=False)]
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
 
 
 def links(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
-    """Links (print, a, b) that span the components of distinct fingerprints within the radius. fps: print (0, 1, ...), fp."""
+    """Links (print, a, b, d) that span the components of distinct fingerprints within the radius. fps: print (0, 1, ...), fp."""
     spark = fps.sparkSession
     n = max([r["count"] for r in fps.groupBy("print").count().collect()], default=0)
     cells = max(1, int((n / LEAF_AIM) ** CELL_POWER))
@@ -260,10 +265,10 @@ def links(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
 
     def pairs(key, group):  # a pa.Table in and out
         number = key[0].as_py() >> 32
-        a, b = shard_links(group.column("fp").to_numpy().view(np.uint64), group.column("home").to_numpy(), radius, masks[number % parts], radius // parts)
-        return pa.table({"print": pa.array(np.full(len(a), number // parts, np.int32)), "a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+        a, b, d = shard_links(group.column("fp").to_numpy().view(np.uint64), group.column("home").to_numpy(), radius, masks, number % parts, radius // parts)
+        return pa.table({"print": pa.array(np.full(len(a), number // parts, np.int32)), "a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)), "d": pa.array(d.astype(np.int32))})
 
-    return fps.mapInArrow(deal, "cell long, fp long, home boolean").groupBy("cell").applyInArrow(pairs, "print int, a long, b long")
+    return fps.mapInArrow(deal, "cell long, fp long, home boolean").groupBy("cell").applyInArrow(pairs, "print int, a long, b long, d int")
 
 
 def shingle_sets(keys: DataFrame, docs: DataFrame, words: int, text_col: str = "text") -> DataFrame:
@@ -300,14 +305,34 @@ def _ends(pairs: DataFrame, state: DataFrame, columns: list[str]) -> DataFrame:
     return pairs
 
 
+def _apart(state: DataFrame) -> DataFrame:
+    """Rows of groups whose parts are still apart."""
+    apart = state.groupBy("grp").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("grp")
+    return state.where("members > 2").join(apart, "grp", "left_semi")
+
+
+def _held(state: DataFrame, sets: DataFrame) -> DataFrame:
+    """(grp, key, part, n, shingle, held) of large groups that are apart; held: texts of the group with the shingle."""
+    many = _apart(state).where(F.col("members") > GROUP_SMALL).select("grp", "key", "part", "n")
+    each = many.join(sets.select("key", "shingles"), "key").select("grp", "key", "part", "n", F.explode("shingles").alias("shingle"))
+    return each.join(each.groupBy("grp", "shingle").agg(F.count("*").alias("held")), ["grp", "shingle"])
+
+
+def central(state: DataFrame, sets: DataFrame, tried: DataFrame, names: list[str], radius: int) -> DataFrame:
+    """Candidate pairs (a, b, part_a, part_b) of the texts of a large group with its HUBS central ones, in other parts."""
+    texts = _held(state, sets).groupBy("grp", "key", "part").agg(F.avg("held").alias("held"))
+    hubs = texts.groupBy("grp", F.pmod(F.xxhash64("key"), F.lit(HUBS)).alias("slot")).agg(F.max_by("key", F.struct("held", "key")).alias("hub"))
+    met = texts.select("grp", F.col("key").alias("a")).join(hubs.select("grp", F.col("hub").alias("b")), "grp").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _ends(met, state, ["part", *names]).where((F.col("part_a") != F.col("part_b")) & _near(names, radius)).select("a", "b", "part_a", "part_b").join(tried, ["a", "b"], "left_anti")
+
+
 def untried(state: DataFrame, sets: DataFrame, tried: DataFrame, names: list[str], radius: int, similar: float) -> DataFrame:
     """Candidate pairs (a, b, part_a, part_b) between parts of a group that are still apart, without those in tried and
     those that can't be as alike.
 
     state: key, n (its shingles), fingerprints, grp, members (of grp), part.
     """
-    apart = state.groupBy("grp").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("grp")
-    rows = state.where("members > 2").join(apart, "grp", "left_semi")
+    rows = _apart(state)
     few = rows.where(F.col("members") <= GROUP_SMALL)
     sides = [few.select("grp", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "part", *names))) for x in ("a", "b")]
     sized = F.least("n_a", "n_b") >= F.lit(similar) * F.greatest("n_a", "n_b")
@@ -315,9 +340,7 @@ def untried(state: DataFrame, sets: DataFrame, tried: DataFrame, names: list[str
     found = found.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "part_a", "part_b")
 
     many = rows.where(F.col("members") > GROUP_SMALL)
-    each = many.select("grp", "key", "part", "n").join(sets.select("key", "shingles"), "key").select("grp", "key", "part", "n", F.explode("shingles").alias("shingle"))
-    counts = each.groupBy("grp", "shingle").agg(F.count("*").alias("held"))
-    ranked = each.join(counts, ["grp", "shingle"]).withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy("held", "shingle")))
+    ranked = _held(state, sets).withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy("held", "shingle")))
     least = F.ceil(F.lit(similar) * F.col("n") - 1e-9)  # shingles in common with a set of the least size, none of which may be larger
     prefix = ranked.where((F.col("pos") <= F.col("n") - least + 1) & (F.col("held") > 1)).drop("held")
     # the largest part of a group needn't meet itself
@@ -363,7 +386,7 @@ def near_copies(docs: DataFrame, similar: float = 0.8, shingle: int = 5, words:
     component, that of the smallest id (of these, of the smallest row_col, a number that no other row has; without
     row_col all rows of that id and component are kept). The other terms are those of near_groups.
     """
-    scratch = Scratch(docs.sparkSession, "near")
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near")
     rows = scratch.table(fingerprints(docs, words, prints, id_col, text_col, row_col), "fingerprints")
     names = [f"fp{k}" for k in range(prints)]
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")  # null ids come last
@@ -372,12 +395,12 @@ def near_copies(docs: DataFrame, similar: float = 0.8, shingle: int = 5, words:
     one = scratch.table(each.groupBy("print", "fp").agg(F.min("key").alias("key")), "one")
     near = links(one.select("print", "fp"), radius, scratch).distinct()
     ends = [one.select("print", F.col("fp").alias(x), F.col("key").alias(f"key_{x}")) for x in ("a", "b")]
-    linked = near.join(ends[0], ["print", "a"]).join(ends[1], ["print", "b"]).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
-    equal = each.withColumnRenamed("key", "own").join(one, ["print", "fp"]).where("own <> key").select(F.col("key").alias("a"), F.col("own").alias("b"))
-    tried = scratch.table(linked.union(equal).distinct(), "pairs")
-    sets = scratch.table(shingle_sets(tried.select(F.col("a").alias("key")).union(tried.select("b")).distinct(), docs, shingle, text_col), "sets")
+    linked = near.join(ends[0], ["print", "a"]).join(ends[1], ["print", "b"]).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"), "d")
+    equal = each.withColumnRenamed("key", "own").join(one, ["print", "fp"]).where("own <> key").select(F.col("key").alias("a"), F.col("own").alias("b"), F.lit(0).alias("d"))
+    pairs = scratch.table(linked.union(equal).groupBy("a", "b").agg(F.min("d").alias("d"), F.count("*").alias("prints")), "pairs")
+    sets = scratch.table(shingle_sets(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), docs, shingle, text_col), "sets")
     # groups that candidate pairs connect, and their parts that verified ones do
-    groups = components(tried, Scratch(docs.sparkSession, "near-groups")).select(F.col("node").alias("key"), F.col("component").alias("grp"))
+    groups = components(pairs.select("a", "b"), Scratch(docs.sparkSession, "near-groups")).select(F.col("node").alias("key"), F.col("component").alias("grp"))
     state = sets.select("key", F.size("shingles").alias("n"), F.col("key").alias("part")).join(texts.select("key", *names), "key").join(groups, "key")
     state = scratch.table(state.join(groups.groupBy("grp").agg(F.count("*").alias("members")), "grp"), "state0")
 
@@ -387,11 +410,12 @@ def near_copies(docs: DataFrame, similar: float = 0.8, shingle: int = 5, words:
         joined = components(found.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")), Scratch(docs.sparkSession, "near-parts")).withColumnRenamed("node", "part")
         return scratch.table(state.join(joined, "part", "left").withColumn("part", F.coalesce("component", "part")).drop("component"), f"state{k + 1}")
 
-    far = sum((F.bit_count(F.col(f"{n}_a").bitwiseXOR(F.col(f"{n}_b"))) for n in names), F.lit(0))
-    ranked = _ends(tried, state, names).select("a", "b", F.struct(far.alias("far"), "a", "b").alias("pair"))
-    nearest = ranked.select(F.col("a").alias("key"), "pair").union(ranked.select("b", "pair")).groupBy("key").agg(F.min("pair").alias("pair"))
+    best = F.struct("d", (-F.col("prints")).alias("prints"), "a", "b").alias("pair")
+    nearest = pairs.select(F.col("a").alias("key"), best).union(pairs.select("b", best)).groupBy("key").agg(F.min("pair").alias("pair"))
     state = merged(state, nearest.select("pair.a", "pair.b").distinct().select("a", "b", F.col("a").alias("part_a"), F.col("b").alias("part_b")), 0)
-    state = merged(state, _ends(tried, state, ["part"]).where("part_a <> part_b"), 1)
+    tried = spark.read.parquet(scratch.path("pairs0")).select("a", "b")
+    state = merged(state, central(state, sets, tried, names, radius), 1)
+    tried = tried.union(spark.read.parquet(scratch.path("pairs1")).select("a", "b"))
     state = merged(state, untried(state, sets, tried, names, radius, similar), 2)
     named = _named(texts.select("key", "least"), "key", state.select(F.col("key").alias("a"), F.col("part").alias("b")), scratch)
     return rows.join(named, "key").select("doc_id", F.col("first.doc_id").alias("component_id"), first.eqNullSafe(F.col("first")).alias("kept"), "row")
