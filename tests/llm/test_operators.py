@@ -348,12 +348,37 @@ def test_forest_is_least():
     assert len(kept) == 29 and d[kept].sum() == total
 
 
-def test_long_chain_is_one_component(spark):
+@pytest.mark.parametrize("held", [1 << 20, 7])
+def test_long_chain_is_one_component(spark, monkeypatch, held):
+    monkeypatch.setattr(components, "HELD", held)
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500)], "a long, b long")
     found = components.components(edges, Scratch(spark, "test")).collect()
     assert sorted((r.node, r.component) for r in found) == [(i, 0) for i in range(201)]
 
 
+def test_spanned_links():
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 300, (2, 260))
+    root = list(range(300))
+    for x, y in zip(a, b, strict=True):
+        low, high = sorted((root[x], root[y]))
+        root = [low if r == high else r for r in root]
+    assert dict(zip(*(x.tolist() for x in components.spanned(a, b)), strict=True)) == {i: r for i, r in enumerate(root) if r != i}
+    assert not len(components.spanned(a[:0], b[:0])[0])
+
+
+def test_many_leaves_deal_few_rows():
+    """Trees of over 4,096 leaves; rows dealt out for a fingerprint grow slowly."""
+    rng, dealt = np.random.default_rng(7), []
+    for n in (4000, 16000, 64000):
+        fps = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        tree = simhash.VantageTree((1 << 32) - 1, 1, fps, n // 8, 3)
+        row, leaf, home = simhash.routed(tree, fps, np.ones(n, bool))
+        assert home.sum() == n and (leaf < tree.leaves).all()
+        dealt.append(len(row) / n)
+    assert tree.leaves > 4096 and dealt[0] < dealt[1] < dealt[2] < 64
+
+
 def test_near_groups_of_nothing(no_docs):
     assert simhash.near_groups(no_docs).count() == 0
 
