@@ -35,10 +35,29 @@ class Keys:
 KEYS = Keys()
 
 
+#: Ranges that an axis is cut into before it is numbered or merged with another one.
+RANGES = 256
+
+
+def _ranged(values: DataFrame, column: str) -> DataFrame:
+    """values with `_part`, the number of the range that the column lies in; a sketch of the values cuts the ranges.
+
+    An axis may be as long as the facts (times of events): no window over it then holds it as a whole.
+    """
+    cuts = values.agg(F.percentile_approx(column, F.array(*(F.lit(k / RANGES) for k in range(1, RANGES))), 4 * RANGES).alias("_cuts"))
+    at = F.aggregate("_cuts", F.lit(0), lambda k, c: k + F.when(c < F.col(column), 1).otherwise(0))
+    return values.crossJoin(F.broadcast(cuts)).withColumn("_part", F.coalesce(at, F.lit(0))).drop("_cuts")  # one row
+
+
 def axis(df: DataFrame, column: str, position: str, descending: bool = False) -> DataFrame:
     """(column, position): distinct values, numbered from 0."""
-    order = F.col(column).desc() if descending else F.col(column)
-    return df.select(column).where(F.col(column).isNotNull()).distinct().withColumn(position, (F.dense_rank().over(Window.orderBy(order)) - 1).cast("int"))
+    ranged = _ranged(df.select(column).where(F.col(column).isNotNull()).distinct(), column)
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    numbered = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(column))).join(F.broadcast(sizes), "_part")
+    rank = F.col("_before") + F.col("_k") - 1
+    return numbered.select(column, (F.col("_all") - 1 - rank if descending else rank).cast("int").alias(position))
 
 
 def with_positions(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -62,14 +81,20 @@ def densify(df: DataFrame, keys: Keys = KEYS) -> DataFrame:
 def nearest_map(wanted: DataFrame, offered: DataFrame, left: str, right: str, tolerance: float | None = None, ties: str = "larger") -> DataFrame:
     """(left, right): for each wanted coordinate the nearest offered one, none beyond the tolerance.
 
-    ties: `larger` or `smaller` coordinate of two equally near ones. Both axes are merged in one sorted pass
-    instead of being crossed.
+    ties: `larger` or `smaller` coordinate of two equally near ones. Both axes are merged in sorted ranges instead
+    of being crossed; offered coordinates next to a range come from the ranges beside it.
     """
-    low = Window.orderBy("x", "side").rowsBetween(Window.unboundedPreceding, 0)
-    high = Window.orderBy("x", F.col("side").desc()).rowsBetween(0, Window.unboundedFollowing)
-    both = offered.select(F.col(right).alias("x"), F.lit(0).alias("side")).distinct().union(wanted.select(F.col(left).alias("x"), F.lit(1).alias("side")).distinct()).where("x IS NOT NULL")
-    own = F.when(F.col("side") == 0, F.col("x"))
+    low = Window.partitionBy("_part").orderBy("x", "side").rowsBetween(Window.unboundedPreceding, 0)
+    high = Window.partitionBy("_part").orderBy("x", F.col("side").desc()).rowsBetween(0, Window.unboundedFollowing)
+    both = offered.select(F.col(right).alias("x"), F.lit(0).alias("side")).union(wanted.select(F.col(left).alias("x"), F.lit(1).alias("side"))).where("x IS NOT NULL").distinct()
+    both, own = _ranged(both, "x"), F.when(F.col("side") == 0, F.col("x"))
+    ends = both.groupBy("_part").agg(F.min(own).alias("_min"), F.max(own).alias("_max"))
+    beside = Window.orderBy("_part")  # RANGES rows at most
+    ends = ends.select(
+        "_part", F.max("_max").over(beside.rowsBetween(Window.unboundedPreceding, -1)).alias("_under"), F.min("_min").over(beside.rowsBetween(1, Window.unboundedFollowing)).alias("_over")
+    )
     seen = both.withColumn("below", F.last(own, ignorenulls=True).over(low)).withColumn("above", F.first(own, ignorenulls=True).over(high)).where("side = 1")
+    seen = seen.join(F.broadcast(ends), "_part").withColumns({"below": F.coalesce("below", "_under"), "above": F.coalesce("above", "_over")})
     gap_below, gap_above = F.col("x") - F.col("below"), F.col("above") - F.col("x")
     if dict(seen.dtypes)["x"].startswith("timestamp"):
         micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))

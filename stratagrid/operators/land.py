@@ -53,28 +53,74 @@ def coast_distance(df: DataFrame, mask: str, step_degrees: float, keys: Keys = K
     return df.drop("_land")
 
 
+def _padded(df: DataFrame, height: str, r: int, keys: Keys) -> DataFrame:
+    """(_i, _j, _h, _own): the dense grid with its border repeated r points beyond it; _own marks its own points."""
+    i, j = keys.lat, keys.lon
+    ends = df.agg(F.min(i).alias("_i0"), F.max(i).alias("_i1"), F.min(j).alias("_j0"), F.max(j).alias("_j1"))  # one row
+
+    def reach(c: str, low: str, high: str) -> Column:
+        return F.explode(F.sequence(F.when(F.col(c) == F.col(low), F.col(c) - r).otherwise(F.col(c)), F.when(F.col(c) == F.col(high), F.col(c) + r).otherwise(F.col(c))))
+
+    wide = df.select(i, j, F.col(height).cast("double").alias("_h")).crossJoin(F.broadcast(ends))
+    wide = wide.withColumn("_i", reach(i, "_i0", "_i1")).withColumn("_j", reach(j, "_j0", "_j1"))
+    return wide.select("_i", "_j", "_h", ((F.col("_i") == F.col(i)) & (F.col("_j") == F.col(j))).alias("_own"))
+
+
+def _sums(x: Column) -> dict[str, Column]:
+    """What a single value adds to a window's count, sum, squares, least and greatest value."""
+    return {"n": F.when(x.isNotNull(), 1).otherwise(0), "s": F.coalesce(x, F.lit(0.0)), "q": F.coalesce(x * x, F.lit(0.0)), "lo": x, "hi": x}
+
+
+def _joined(parts: list[dict[str, Column]]) -> dict[str, Column]:
+    if len(parts) == 1:
+        return parts[0]
+    add = lambda k: sum((F.coalesce(p[k], F.lit(0)) for p in parts[1:]), F.coalesce(parts[0][k], F.lit(0)))
+    return {k: add(k) for k in ("n", "s", "q")} | {"lo": F.least(*(p["lo"] for p in parts)), "hi": F.greatest(*(p["hi"] for p in parts))}
+
+
+def _over(names: dict[str, str], w: Window) -> dict[str, Column]:
+    made = {"n": F.sum, "s": F.sum, "q": F.sum, "lo": F.min, "hi": F.max}
+    return {k: made[k](F.col(c)).over(w) for k, c in names.items()}
+
+
+def _stats(sums: dict[str, Column], prefix: str, tag: str) -> dict[str, Column]:
+    n = F.nullif(sums["n"], F.lit(0))
+    mean = sums["s"] / n
+    return {f"{prefix}_min_{tag}": sums["lo"], f"{prefix}_max_{tag}": sums["hi"], f"{prefix}_mean_{tag}": mean, f"{prefix}_std_{tag}": F.sqrt(F.greatest(sums["q"] / n - mean * mean, F.lit(0.0)))}
+
+
 def relief(df: DataFrame, height: str, degrees: list[float], resolution: float, keys: Keys = KEYS) -> DataFrame:
-    """{height}_{min,max,mean,std}_{d} over windows of d degrees whose border repeats beyond the grid, and
-    {height}_grad_{min,max,mean,std}_{d} of the slope's size within each window."""
+    """{height}_{min,max,mean,std}_{d} over windows of d degrees whose border repeats beyond the dense grid, and
+    {height}_grad_{min,max,mean,std}_{d} of the slope's size within each window.
+
+    Two passes, along rows and then along columns over their results. A slope is a central difference inside a
+    window and one-sided (`f` forward, `b` backward) on its edges, so that the edges' strips are added apart.
+    """
     i, j = keys.lat, keys.lon
-    size = df.agg(F.min(i), F.max(i), F.min(j), F.max(j)).first()
+    down, across = Window.partitionBy("_j").orderBy("_i"), Window.partitionBy("_i").orderBy("_j")
     for d in degrees:
         r, tag = max(1, math.ceil(d / 2 / resolution)), f"{d:g}".replace(".", "_")
-        offsets = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-r, r + 1) for b in range(-r, r + 1)))
-        clamp = lambda c, lo, hi: F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
-        want = df.select(i, j, F.explode(offsets).alias("_o")).select(i, j, F.col("_o.a").alias("_a"), F.col("_o.b").alias("_b"))
-        want = want.withColumns({"_i": clamp(F.col(i) + F.col("_a"), size[0], size[1]), "_j": clamp(F.col(j) + F.col("_b"), size[2], size[3])})
-        seen = want.join(df.select(F.col(i).alias("_i"), F.col(j).alias("_j"), F.col(height).alias("_h")), ["_i", "_j"])
-        rows, columns = Window.partitionBy(i, j, "_b").orderBy("_a"), Window.partitionBy(i, j, "_a").orderBy("_b")
-
-        def central(w: Window) -> Column:
-            back, on = F.lag("_h").over(w), F.lead("_h").over(w)
-            return F.when(back.isNull(), on - F.col("_h")).when(on.isNull(), F.col("_h") - back).otherwise((on - back) / 2)
-
-        seen = seen.withColumn("_s", F.sqrt(F.pow(central(rows), F.lit(2)) + F.pow(central(columns), F.lit(2))))
-        stats = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_pop}
-        made = seen.groupBy(i, j).agg(*(f("_h").alias(f"{height}_{s}_{tag}") for s, f in stats.items()), *(f("_s").alias(f"{height}_grad_{s}_{tag}") for s, f in stats.items()))
-        df = df.join(made, [i, j], "left")
+        grid, inner, whole = _padded(df, height, r, keys), (1 - r, r - 1), (-r, r)
+        slopes = {}
+        for name, w in (("d", down), ("a", across)):
+            back, on, here = F.lag("_h").over(w), F.lead("_h").over(w), F.col("_h")
+            slopes |= {f"_{name}f": on - here, f"_{name}b": here - back, f"_{name}c": F.when(back.isNull(), on - here).when(on.isNull(), here - back).otherwise((on - back) / 2)}
+        sizes = {f"_{k}{m}": F.sqrt(F.col(f"_d{k}") * F.col(f"_d{k}") + F.col(f"_a{m}") * F.col(f"_a{m}")) for k in "cfb" for m in "cfb"}
+        grid = grid.withColumns(slopes).withColumns(sizes)
+        names = {f: {k: f"_{f}_{k}" for k in ("n", "s", "q", "lo", "hi")} for f in ["h", *(f"{k}{m}" for k in "cfb" for m in "cfb")]}
+        grid = grid.withColumns({names[f][k]: c for f in names for k, c in _sums(F.col(f"_{f}")).items()})
+        at = lambda f, steps, w: {k: F.lag(c, steps).over(w) for k, c in names[f].items()}
+        strips = {"h": _over(names["h"], across.rowsBetween(*whole))}
+        strips |= {k: _joined([_over(names[f"{k}c"], across.rowsBetween(*inner)), at(f"{k}f", r, across), at(f"{k}b", -r, across)]) for k in "cfb"}
+        grid = grid.select("_i", "_j", "_own", *(c.alias(f"_{f}_{k}") for f, made in strips.items() for k, c in made.items()))
+        names = {f: {k: f"_{f}_{k}" for k in made} for f, made in strips.items()}
+        heights = _over(names["h"], down.rowsBetween(*whole))
+        steep = _joined([_over(names["c"], down.rowsBetween(*inner)), at("f", r, down), at("b", -r, down)])
+        totals = {f"_t_{f}_{k}": c for f, made in (("h", heights), ("g", steep)) for k, c in made.items()}
+        grid = grid.select("_i", "_j", "_own", *(c.alias(n) for n, c in totals.items())).where("_own")
+        col = lambda f: {k: F.col(f"_t_{f}_{k}") for k in ("n", "s", "q", "lo", "hi")}
+        made = _stats(col("h"), height, tag) | _stats(col("g"), f"{height}_grad", tag)
+        df = df.join(grid.select(F.col("_i").alias(i), F.col("_j").alias(j), *(c.alias(n) for n, c in made.items())), [i, j], "left")
     return df
 
 
