@@ -17,13 +17,15 @@ def nearest_time(df: DataFrame, features: DataFrame, left: str, right: str, tole
     return df.join(mapped, left).join(features, [right, *(on or [])])
 
 
-def nearest_grid(df: DataFrame, features: DataFrame, columns: dict[str, str], tolerance: float | None = 0.6, how: str = "left", ties: str = "larger", on: list[str] | None = None) -> DataFrame:
+def nearest_grid(df: DataFrame, features: DataFrame, columns: dict[str, str], tolerance: float | None = 0.6, how: str = "left", ties: str = "larger", on: list[str] | None = None, wanted: DataFrame | None = None, offered: DataFrame | None = None) -> DataFrame:
     """df with the features of the nearest coordinate on each axis; columns: {df's coordinate: features' one}.
 
-    ties `larger` is the nearest-index rule of sorted axes, `smaller` that of the first least distance.
+    ties `larger` is the nearest-index rule of sorted axes, `smaller` that of the first least distance. wanted and
+    offered hold the coordinates of df and of the features where a cheaper plan than these has them.
     """
+    wanted, offered = df if wanted is None else wanted, features if offered is None else offered
     for left, right in columns.items():
-        df = df.join(nearest_map(df.select(left), features.select(right), left, right, tolerance, ties), left, "left")
+        df = df.join(nearest_map(wanted.select(left), offered.select(right), left, right, tolerance, ties), left, "left")
     return df.join(features, [*columns.values(), *(on or [])], how)
 
 

@@ -62,9 +62,10 @@ def axis(df: DataFrame, column: str, position: str, descending: bool = False) ->
 
 def with_positions(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """df with a position column for each coordinate column, as {coordinate: position}."""
+    out = df
     for column, position in columns.items():
-        df = df.join(axis(df, column, position), column)
-    return df
+        out = out.join(axis(df, column, position), column)
+    return out
 
 
 def densify(df: DataFrame, keys: Keys = KEYS) -> DataFrame:

@@ -42,6 +42,12 @@ def uniform_share(df: DataFrame, share: float, key: str) -> DataFrame:
     return uniform(df, int(df.count() * share), key)
 
 
+def group_share(df: DataFrame, groups: list[str], share: float, key: str) -> DataFrame:
+    """Of each group, round(rows * share) rows, halves to the even number: those with the least keys."""
+    counts = df.groupBy(*groups).agg(F.bround(F.count("*") * F.lit(share)).alias("_most"))
+    return ranked(df, groups, key).join(counts, groups).where(F.col("_rank") <= F.col("_most")).drop("_rank", "_most")
+
+
 def tail_preserving(df: DataFrame, value: str, share: float, positive: float, near_miss: float, groups: list[str], key: str, mode: str = "positive_and_near_miss") -> DataFrame:
     """Of each group, all rows at or over a threshold, filled up from the rest to max(int(rows * share), 1) rows."""
     cut = positive if mode == "positive" else near_miss if mode == "near_miss" else min(positive, near_miss)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import align, axes, climatology, evaluate, labels, land, physics, profile, reshape, sampling, spatial, temporal
+from . import runs
 from .base import CUBE, DENSE, HOURLY, cube, dense, hourly, q, shown, table
 from .features import build
 
@@ -944,3 +945,38 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(made, "v_lag1", "v_diff1", "v_ewm3", "v_global_mean", keep=KEY)
 
 
+
+
+# ---- whole runs from a configuration
+
+_RUN = {
+    "data": {"target_var": "y", "train_years": [1996, 1997, 1999], "latitude_range": [0, 6], "longitude_range": [4, 0], "sample_fraction": 0.4, "random_seed": 7, "subsampling": {"mode": "tail_preserving", "positive_threshold": 80.0, "near_miss_threshold": 60.0}},
+    "feature_engineering": {"lag": {"variables": ["v"], "lags": [1, 2]}, "regional": {"variables": ["v"], "stats": ["mean"]}},
+    "binarization": {"enabled": True, "threshold_val": 70.0, "operator": "greater"},
+    "sample_weights": {"threshold_moderate": 30.0, "threshold_extreme": 60.0, "threshold_very_extreme": 90.0},
+}
+_RUN_ROWS = (
+    "f AS (SELECT o.o_orderdate AS time, CAST(floor(c.c_nationkey / 5) AS DOUBLE) AS latitude, CAST(c.c_nationkey % 5 AS DOUBLE) AS longitude, avg(o.o_totalprice) AS v FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1, 2, 3),"
+    " ch AS (SELECT f.*, y FROM f JOIN (VALUES (1996), (1997), (1999)) w(y) ON time >= make_date(y, 1, 1) - INTERVAL 7 DAY AND time < make_date(y + 1, 1, 1)),"
+    " l AS (SELECT *, lag(v, 1) OVER p AS v1, lag(v, 2) OVER p AS v2, avg(v) OVER (PARTITION BY y, time) AS g FROM ch WINDOW p AS (PARTITION BY y, latitude, longitude ORDER BY time)),"
+    " tg AS (SELECT CAST(l_shipdate + INTERVAL 9 HOUR AS TIMESTAMP) AS time, l_linenumber % 6 + 2.5e-1 AS latitude, CAST(l_suppkey % 5 AS DOUBLE) AS longitude, sum(l_quantity) AS y FROM lineitem WHERE year(l_shipdate) IN (1996, 1997, 1999) GROUP BY 1, 2, 3),"
+    " j AS (SELECT tg.*, l.v, l.v1, l.v2, l.g, CAST(year(tg.time) AS INT) AS yr, CAST(month(tg.time) AS INT) AS mo FROM tg JOIN (SELECT DISTINCT y, time FROM ch) d ON d.y = year(tg.time) AND d.time = date_trunc('day', tg.time)"
+    " LEFT JOIN l ON l.y = d.y AND l.time = d.time AND l.latitude = floor(tg.latitude) AND l.longitude = tg.longitude)"
+)
+
+
+@query(
+    f"WITH {_RUN_ROWS}, r AS (SELECT *, y >= 60 AS keep, row_number() OVER (PARTITION BY yr, mo, y >= 60 ORDER BY md5('7|' || CAST(time AS VARCHAR) || '|' || CAST(latitude AS VARCHAR) || '|' || CAST(longitude AS VARCHAR))) AS k,"
+    " count(*) OVER (PARTITION BY yr, mo) AS n, count(*) FILTER (WHERE y >= 60) OVER (PARTITION BY yr, mo) AS kept FROM j)"
+    f" SELECT time, latitude, longitude, {q('y', 'y')}, {q('CAST(v AS FLOAT)', 'v')}, {q('CAST(v1 AS FLOAT)', 'v_lag1')}, {q('CAST(v2 AS FLOAT)', 'v_lag2')}, {q('CAST(g AS FLOAT)', 'v_global_mean')}, CASE WHEN y > 70 THEN 1 ELSE 0 END AS target_binary,"
+    f" {q('CASE WHEN y >= 90 THEN 10 WHEN y >= 60 THEN 5 WHEN y >= 30 THEN 2 ELSE 1 END', 'weight')} FROM r WHERE keep OR k <= greatest(greatest(floor(n * 4e-1), 1) - kept, 0)"
+)
+def config_run(spark, sf):
+    """The whole way from a configuration: context of years, features, nearest times and points, labels, weights, sampling."""
+    o, c, i = (table(spark, sf, name) for name in ("orders", "customer", "lineitem"))
+    cell = [F.floor(F.col("c_nationkey") / 5).cast("double").alias("latitude"), (F.col("c_nationkey") % 5).cast("double").alias("longitude")]
+    features = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("o_orderdate").alias("time"), *cell).agg(F.avg("o_totalprice").alias("v"))
+    place = [(F.col("l_shipdate") + F.expr("INTERVAL 9 HOURS")).alias("time"), (F.col("l_linenumber") % 6 + 0.25).cast("double").alias("latitude"), (F.col("l_suppkey") % 5).cast("double").alias("longitude")]
+    target = i.groupBy(*place).agg(F.sum("l_quantity").alias("y"))
+    made = runs.prepared(features, target, _RUN)
+    return shown(made, "y", "v", "v_lag1", "v_lag2", "v_global_mean", "weight", keep=["time", "latitude", "longitude", "target_binary"])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import plan_key
 
@@ -35,6 +37,38 @@ def kept(spark: SparkSession, folder: str, config: dict, make: Callable[[], Data
     return spark.read.parquet(path)
 
 
+def kept_months(spark: SparkSession, folder: str, config: dict, months: list[tuple[int, int]], make: Callable[[list[tuple[int, int]]], DataFrame], time: str = "time") -> DataFrame:
+    """Rows of (year, month) pairs of the table of this configuration; `make` is asked for the months not kept yet.
+
+    A month is marked as kept after it is written, one without rows too, so that neither is made again and a run
+    that stops in between leaves nothing half done.
+    """
+    path = f"{folder}/{plan_key(config)}"
+    months = sorted(set(months))
+    mark = lambda y, m: _fs(spark, f"{path}/_months/{y}-{m:02d}")
+    lacking = [p for p in months if not (at := mark(*p))[0].exists(at[1])]
+    store, schema_at = _fs(spark, f"{path}/_schema.json")
+    if lacking:
+        made = make(lacking).withColumns({"kept_year": F.year(time), "kept_month": F.month(time)})
+        wanted = made.where((F.col("kept_year") * 100 + F.col("kept_month")).isin([y * 100 + m for y, m in lacking]))
+        wanted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("kept_year", "kept_month").parquet(path)
+        if not store.exists(schema_at):
+            _put(store, schema_at, made.schema.json())
+        for p in lacking:
+            _put(*mark(*p), "")
+    schema = StructType.fromJson(json.loads(spark.read.text(str(schema_at.toString()), wholetext=True).first()[0]))
+    found = spark.read.schema(schema).parquet(path)
+    return found.where((F.col("kept_year") * 100 + F.col("kept_month")).isin([y * 100 + m for y, m in months])).drop("kept_year", "kept_month")
+
+
+def _put(store, at, text: str) -> None:
+    out = store.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def evict(spark: SparkSession, folder: str, most_bytes: int) -> list[str]:
     """Deletes the kept tables that were written longest ago until the rest fits; the paths deleted."""
     store, at = _fs(spark, folder)
