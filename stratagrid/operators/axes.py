@@ -37,6 +37,8 @@ KEYS = Keys()
 
 #: Ranges that an axis is cut into before it is numbered or merged with another one.
 RANGES = 256
+#: How much wider than the tolerance the ranges of a nearest map are, so that rounding can't part two beyond neighbours.
+WIDER = 1.01
 
 
 def _ranged(values: DataFrame, column: str) -> DataFrame:
@@ -62,10 +64,10 @@ def axis(df: DataFrame, column: str, position: str, descending: bool = False) ->
 
 def with_positions(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """df with a position column for each coordinate column, as {coordinate: position}."""
-    out = df
+    found = df.agg(*(F.array_sort(F.collect_set(c)).alias(c) for c in columns))  # as long as a grid's sides
     for column, position in columns.items():
-        out = out.join(axis(df, column, position), column)
-    return out
+        df = df.join(F.broadcast(found.select(F.posexplode(column).alias(position, column))), column)
+    return df
 
 
 def densify(df: DataFrame, keys: Keys = KEYS) -> DataFrame:
@@ -83,23 +85,28 @@ def nearest_map(wanted: DataFrame, offered: DataFrame, left: str, right: str, to
     """(left, right): for each wanted coordinate the nearest offered one, none beyond the tolerance.
 
     ties: `larger` or `smaller` coordinate of two equally near ones. Both axes are merged in sorted ranges instead
-    of being crossed; offered coordinates next to a range come from the ranges beside it.
+    of being crossed: ranges as wide as the tolerance, so that only those beside one can hold what it lacks, or
+    without a tolerance ranges that a sketch cuts.
     """
+    both = offered.select(F.col(right).alias("x"), F.lit(0).alias("side")).union(wanted.select(F.col(left).alias("x"), F.lit(1).alias("side"))).where("x IS NOT NULL").distinct()
+    own, timed = F.when(F.col("side") == 0, F.col("x")), dict(both.dtypes)["x"].startswith("timestamp")
+    number = (lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6) if timed else F.col
+    both = _ranged(both, "x") if tolerance is None else both.withColumn("_part", F.floor(number("x") / F.lit(tolerance * WIDER)).cast("long"))
     low = Window.partitionBy("_part").orderBy("x", "side").rowsBetween(Window.unboundedPreceding, 0)
     high = Window.partitionBy("_part").orderBy("x", F.col("side").desc()).rowsBetween(0, Window.unboundedFollowing)
-    both = offered.select(F.col(right).alias("x"), F.lit(0).alias("side")).union(wanted.select(F.col(left).alias("x"), F.lit(1).alias("side"))).where("x IS NOT NULL").distinct()
-    both, own = _ranged(both, "x"), F.when(F.col("side") == 0, F.col("x"))
     ends = both.groupBy("_part").agg(F.min(own).alias("_min"), F.max(own).alias("_max"))
-    beside = Window.orderBy("_part")  # RANGES rows at most
-    ends = ends.select(
-        "_part", F.max("_max").over(beside.rowsBetween(Window.unboundedPreceding, -1)).alias("_under"), F.min("_min").over(beside.rowsBetween(1, Window.unboundedFollowing)).alias("_over")
-    )
+    if tolerance is None:
+        beside = Window.orderBy("_part")  # RANGES rows at most
+        ends = ends.select(
+            "_part", F.max("_max").over(beside.rowsBetween(Window.unboundedPreceding, -1)).alias("_under"), F.min("_min").over(beside.rowsBetween(1, Window.unboundedFollowing)).alias("_over")
+        )
+    else:
+        none = F.lit(None).cast(dict(both.dtypes)["x"])
+        sent = F.array(*(F.struct((F.col("_part") + step).alias("_part"), under.alias("_under"), over.alias("_over")) for step, under, over in ((1, F.col("_max"), none), (-1, none, F.col("_min")))))
+        ends = ends.where("_min IS NOT NULL").select(F.inline(sent)).groupBy("_part").agg(F.max("_under").alias("_under"), F.min("_over").alias("_over"))
     seen = both.withColumn("below", F.last(own, ignorenulls=True).over(low)).withColumn("above", F.first(own, ignorenulls=True).over(high)).where("side = 1")
-    seen = seen.join(F.broadcast(ends), "_part").withColumns({"below": F.coalesce("below", "_under"), "above": F.coalesce("above", "_over")})
-    gap_below, gap_above = F.col("x") - F.col("below"), F.col("above") - F.col("x")
-    if dict(seen.dtypes)["x"].startswith("timestamp"):
-        micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-        gap_below, gap_above = (micros("x") - micros("below")) / 1e6, (micros("above") - micros("x")) / 1e6
+    seen = seen.join(ends, "_part", "left").withColumns({"below": F.coalesce("below", "_under"), "above": F.coalesce("above", "_over")})
+    gap_below, gap_above = (number("x") - number("below"), number("above") - number("x")) if timed else (F.col("x") - F.col("below"), F.col("above") - F.col("x"))
     closer = gap_above <= gap_below if ties == "larger" else gap_above < gap_below
     up = F.col("below").isNull() | (F.col("above").isNotNull() & closer)
     found = seen.select(F.col("x").alias(left), F.when(up, F.col("above")).otherwise(F.col("below")).alias(right), F.when(up, gap_above).otherwise(gap_below).alias("_gap")).where(F.col(right).isNotNull())

@@ -1,8 +1,9 @@
 """From a whole configuration to the table that a model learns from: sections `data`, `feature_engineering`,
 `label_smoothing`, `binarization`, `sample_weights`, `regression_predictions` and `training`.
 
-Order: box and years, features of each year with days of context before it, nearest times and grid points of the
-target, outside predictions, finite targets, smoothing by month, binary label, weights, sampling by month.
+Order: box and years, the target's nearest times, smoothing by month, finite targets, binary label, weights, sampling
+by month; then features of each year with days of context before it, at the nearest grid points, and outside
+predictions. Features drop no rows, so that they meet the sampled target only.
 """
 
 from __future__ import annotations
@@ -68,18 +69,24 @@ def yearly_features(features: DataFrame, config: dict, years: list[int], climate
     return build(df, config.get("feature_engineering") or {}, "time", "latitude", "longitude", *steps, climate=climate, keys=_OWN).drop("_i", "_j")
 
 
-def aligned(target: DataFrame, features: DataFrame, offered: DataFrame) -> DataFrame:
-    """The target's rows with the features of the nearest time of their year and the nearest grid point.
+#: Names of the features' coordinates beside the target's.
+_SIDE = {"_x": "_fx", "latitude": "_flat", "longitude": "_flon"}
 
-    Rows without a time near enough go; a point beyond the tolerance has NULL features. offered: (_x, latitude,
-    longitude) of the features before they were engineered, so that their axes don't cost the whole plan again.
+
+def timed(target: DataFrame, offered: DataFrame) -> DataFrame:
+    """The target's rows that have features near enough in time, with `_fx`, that time on the axis of their year."""
+    rows = target.withColumn("_x", F.year("time").cast("long") * APART + _seconds(F.col("time")))
+    return rows.join(axes.nearest_map(rows.select("_x"), offered.select("_fx"), "_x", "_fx", SECONDS), "_x").drop("_x")
+
+
+def with_features(rows: DataFrame, features: DataFrame, wanted: DataFrame, offered: DataFrame) -> DataFrame:
+    """rows with the features at `_fx` and the nearest grid point; beyond the tolerance they are NULL.
+
+    wanted and offered hold the coordinates of rows and features, without the plans that made these.
     """
-    names = {"_x": "_fx", "latitude": "_flat", "longitude": "_flon"}
-    features, offered = features.drop("time", "_year").withColumnsRenamed(names), offered.select(*names).withColumnsRenamed(names)
-    wanted = target.withColumn("_x", F.year("time").cast("long") * APART + _seconds(F.col("time")))
-    rows = wanted.join(axes.nearest_map(wanted.select("_x"), offered.select("_fx"), "_x", "_fx", SECONDS), "_x")
+    features = features.drop("time", "_year").withColumnsRenamed(_SIDE)
     places = {"latitude": "_flat", "longitude": "_flon"}
-    return align.nearest_grid(rows, features, places, DEGREES, on=["_fx"], wanted=wanted, offered=offered).drop("_x", "_fx", "_flat", "_flon")
+    return align.nearest_grid(rows, features, places, DEGREES, on=["_fx"], wanted=wanted, offered=offered).drop("_fx", "_flat", "_flon")
 
 
 def prepared(features: DataFrame, target: DataFrame, config: dict, years: list[int] | None = None, climate: DataFrame | None = None, regression: DataFrame | None = None, steps: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
@@ -98,10 +105,8 @@ def prepared(features: DataFrame, target: DataFrame, config: dict, years: list[i
         from ..sources import target_of
 
         rows = rows.withColumnRenamed(target_of(rows), name)
-    offered = _placed(by_years(_boxed(features, data), years, context_days(config)))
-    rows = aligned(rows, yearly_features(features, config, years, climate, steps), offered)
-    if regression is not None and (config.get("regression_predictions") or {}).get("enabled", True):
-        rows = align.quantised_lookup(rows, regression, "time", "latitude", "longitude", "reg_pred_anomaly", ["time"])
+    wanted, offered = rows, _placed(by_years(_boxed(features, data), years, context_days(config))).select(*_SIDE).withColumnsRenamed(_SIDE)
+    rows = timed(rows, offered)
     smooth = config.get("label_smoothing") or {}
     month = {"_y": F.year("time"), "_m": F.month("time")}
     rows = rows.withColumns(month)
@@ -118,9 +123,12 @@ def prepared(features: DataFrame, target: DataFrame, config: dict, years: list[i
         weights = tuple(float(tiers.get(f"weight_{k}", w)) for k, w in (("normal", 1.0), ("moderate", 2.0), ("extreme", 5.0), ("very_extreme", 10.0)))
         cuts = tuple(float(tiers.get(f"threshold_{k}", c)) for k, c in (("moderate", 5.0), ("extreme", 10.0), ("very_extreme", 15.0)))
         rows = rows.withColumn("weight", labels.tier_weight(F.col(name), weights, cuts))
+    rows = sampled(rows, config, list(month)).drop(*month)
+    rows = with_features(rows, yearly_features(features, config, years, climate, steps), wanted, offered)
+    if regression is not None and (config.get("regression_predictions") or {}).get("enabled", True):
+        rows = align.quantised_lookup(rows, regression, "time", "latitude", "longitude", "reg_pred_anomaly", ["time"])
     keep = {"latitude", "longitude"}
-    rows = rows.withColumns({c: F.col(c).cast("float") for c, t in rows.dtypes if t == "double" and c not in keep})
-    return sampled(rows, config, list(month)).drop(*month)
+    return rows.withColumns({c: F.col(c).cast("float") for c, t in rows.dtypes if t == "double" and c not in keep})
 
 
 def sampled(rows: DataFrame, config: dict, groups: list[str]) -> DataFrame:
