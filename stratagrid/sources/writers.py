@@ -56,7 +56,7 @@ def kept_months(spark: SparkSession, folder: str, config: dict, months: list[tup
             _put(store, schema_at, made.schema.json())
         for p in lacking:
             _put(*mark(*p), "")
-    schema = StructType.fromJson(json.loads(spark.read.text(str(schema_at.toString()), wholetext=True).first()[0]))
+    schema = StructType.fromJson(json.loads(_text(spark, store, schema_at)))
     found = spark.read.schema(schema).parquet(path)
     return found.where((F.col("kept_year") * 100 + F.col("kept_month")).isin([y * 100 + m for y, m in months])).drop("kept_year", "kept_month")
 
@@ -69,6 +69,14 @@ def _put(store, at, text: str) -> None:
         out.close()
 
 
+def _text(spark: SparkSession, store, at) -> str:
+    found = store.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(found, "UTF-8")
+    finally:
+        found.close()
+
+
 def evict(spark: SparkSession, folder: str, most_bytes: int) -> list[str]:
     """Deletes the kept tables that were written longest ago until the rest fits; the paths deleted."""
     store, at = _fs(spark, folder)
