@@ -69,8 +69,11 @@ def packed_u8(c: Column) -> Column:
 
 
 def coordinate_key(c: Column, steps: int = 100) -> Column:
-    """Coordinate as an integer number of 1/steps, half-even."""
-    return F.rint(c * steps).cast("int")
+    """Coordinate as an integer number of 1/steps, half-even; a tie is one of the coordinate, not of its rounded product."""
+    product = c * F.lit(float(steps))
+    half = F.floor(product) + F.lit(0.5)
+    beside = c - half / F.lit(float(steps))
+    return F.when((beside == 0) | (product == half), F.rint(half + F.signum(beside) / 4)).otherwise(F.rint(product)).cast("int")
 
 
 def grid_cell(c: Column, per_unit: int = 4) -> Column:

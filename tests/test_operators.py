@@ -1,6 +1,7 @@
 """Edge cases of operators: borders, gaps, ties, NULLs, wrong parameters; and properties against numpy."""
 
 import datetime
+import fractions
 import json
 import warnings
 
@@ -452,3 +453,10 @@ def test_merged_parts_and_report_without_years(spark):
     assert sorted(map(tuple, align.merged([a, b], ["t"]).collect())) == [(1, 2.0, None), (2, 5.0, 1), (3, 6.0, 2)]
     y = spark.createDataFrame([], "year string, hit int, pred int, opt int, t double, p double")
     assert {r.year for r in evaluate.report(y, "year", "hit", "pred", "t", "p", "opt").collect()} <= {"ALL", "OPT"}
+
+
+def test_coordinate_ties_are_those_of_the_coordinate(spark):
+    values = [k / 1000.0 for k in range(-2000, 2001)] + [*np.nextafter([0.235, 0.235, 0.245], [0, 1, 1]).tolist(), 35.125, -35.135, None]
+    got = spark.createDataFrame(list(enumerate(values)), "id int, c double").select("id", fn.coordinate_key(F.col("c")).alias("k")).orderBy("id").collect()
+    thousandths = [round(fractions.Fraction(k, 10)) for k in range(-2000, 2001)]
+    assert [r.k for r in got] == thousandths + [23, 24, 25, 3512, -3514, None]
