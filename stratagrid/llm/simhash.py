@@ -414,6 +414,8 @@ def near_copies(docs: DataFrame, similar: float = 0.8, shingle: int = 5, words:
     nearest = pairs.select(F.col("a").alias("key"), best).union(pairs.select("b", best)).groupBy("key").agg(F.min("pair").alias("pair"))
     state = merged(state, nearest.select("pair.a", "pair.b").distinct().select("a", "b", F.col("a").alias("part_a"), F.col("b").alias("part_b")), 0)
     tried = spark.read.parquet(scratch.path("pairs0")).select("a", "b")
+    # what follows looks at texts of groups that are still apart only
+    sets = scratch.table(sets.join(_apart(state).select("key"), "key", "left_semi"), "sets1")
     state = merged(state, central(state, sets, tried, names, radius), 1)
     tried = tried.union(spark.read.parquet(scratch.path("pairs1")).select("a", "b"))
     state = merged(state, untried(state, sets, tried, names, radius, similar), 2)

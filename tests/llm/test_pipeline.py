@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stratagrid.llm import bpe, decontaminate, queries, toxicity
@@ -87,3 +88,19 @@ def test_oracles(spark, tmp_path):
 
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+
+
+def test_kept_rows_are_found_without_moving_texts(spark, monkeypatch):
+    docs, row = corpus_pipeline._numbered(spark, spark.range(0, 1000, 1, 7).select(F.col("id").alias("doc_id"), F.lit("x").alias("kept_word")))
+    decided = docs.select(F.col(row).alias("row"), (F.col("doc_id") % 3 != 0).alias("kept"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, moved in ((1 << 20, False), (0, True)):
+            monkeypatch.setattr(corpus_pipeline, "BITS_MOST", most)
+            kept = corpus_pipeline._of(spark, docs, row, decided)
+            assert kept.columns == ["doc_id", "kept_word"]
+            assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(1000) if i % 3]
+            assert ("hashpartitioning" in kept._jdf.queryExecution().executedPlan().toString()) == moved
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
