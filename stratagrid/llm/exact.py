@@ -114,15 +114,16 @@ def _runs(keys: list[tuple], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         yield flush()
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, scratch: Scratch | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, row.
 
     Texts are equal if their normalised forms are, compared in full; a null text counts as empty. The row with
     the smallest id stays; a null id sorts before all others, and of rows that repeat an id within a group one
     stays: that with the least row_col (a number of its own for each row), if that is given. Empty tables give no
-    rows; columns besides the id, the text and row_col are not read.
+    rows; columns besides the id, the text and row_col are not read. The result reads tables in scratch, which the
+    caller may clear afterwards.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "exact")
+    spark, scratch = docs.sparkSession, scratch or Scratch(docs.sparkSession, "exact")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     row = F.col(row_col).cast("long") if row_col else F.lit(0).cast("long")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), normalised(F.col(text_col)).alias("norm"))

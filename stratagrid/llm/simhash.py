@@ -37,6 +37,8 @@ SEED = 42
 LEAF_AIM, LEAF_MOST, LEAF_SAMPLE = 1024, 2048, 16
 #: Shards of a tree: fingerprints / LEAF_AIM to this power.
 CELL_POWER = 0.65
+#: Fingerprints that a task deals to shards at a time.
+DEALT = 1 << 17
 #: Comparisons at a time, and pairs that a leaf holds beside a spanning forest before they join it.
 PAIRS_MOST = 1 << 18
 #: Texts of a group of candidates whose pairs are all looked at; in larger groups, those with a rare shingle in common.
@@ -255,20 +257,36 @@ def links(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     masks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
     shared = spark.sparkContext.broadcast([VantageTree(m, radius // parts, sample, cells, 11 + k) for k, m in enumerate(masks)])
 
+    def dealt(at: np.ndarray, base: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k, tree in enumerate(shared.value):
+            row, leaf, home = routed(tree, at, np.ones(len(at), bool))
+            cell = ((base[row] + k) << 32) + leaf
+            order = np.argsort(2 * cell + ~home, kind="stable")
+            cell, home, fp = cell[order], home[order], at[row[order]].astype("<u8")
+            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])  # a fingerprint is dealt to its own leaf at least
+            cuts = list(zip(starts.tolist(), (starts + np.add.reduceat(home.astype(np.int64), starts)).tolist(), [*starts[1:].tolist(), len(cell)], strict=True))
+            own, visitors = [fp[a:m].tobytes() for a, m, _ in cuts], [fp[m:b].tobytes() for _, m, b in cuts]
+            yield pa.RecordBatch.from_arrays([pa.array(cell[starts]), pa.array(own, pa.binary()), pa.array(visitors, pa.binary())], names=["cell", "home", "visitors"])
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row holds all fingerprints that some DEALT ones send to a cell: one row for each would take four times their bytes."""
+        held, total = [], 0
         for batch in batches:
-            at, base = batch.column("fp").to_numpy().view(np.uint64), batch.column("print").to_numpy().astype(np.int64) * parts
-            for k, tree in enumerate(shared.value):
-                row, leaf, home = routed(tree, at, np.ones(len(at), bool))
-                cell = ((base[row] + k) << 32) + leaf
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(at[row].view(np.int64)), pa.array(home)], names=["cell", "fp", "home"])
+            held.append((batch.column("fp").to_numpy().view(np.uint64), batch.column("print").to_numpy().astype(np.int64) * parts))
+            total += batch.num_rows
+            if total >= DEALT:
+                yield from dealt(*map(np.concatenate, zip(*held, strict=True)))
+                held, total = [], 0
+        if total:
+            yield from dealt(*map(np.concatenate, zip(*held, strict=True)))
 
     def pairs(key, group):  # a pa.Table in and out
         number = key[0].as_py() >> 32
-        a, b, d = shard_links(group.column("fp").to_numpy().view(np.uint64), group.column("home").to_numpy(), radius, masks, number % parts, radius // parts)
+        own, visitors = (np.frombuffer(b"".join(group.column(c).to_pylist()), "<u8").astype(np.uint64) for c in ("home", "visitors"))
+        a, b, d = shard_links(np.concatenate([own, visitors]), np.arange(len(own) + len(visitors)) < len(own), radius, masks, number % parts, radius // parts)
         return pa.table({"print": pa.array(np.full(len(a), number // parts, np.int32)), "a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)), "d": pa.array(d.astype(np.int32))})
 
-    return fps.mapInArrow(deal, "cell long, fp long, home boolean").groupBy("cell").applyInArrow(pairs, "print int, a long, b long, d int")
+    return fps.mapInArrow(deal, "cell long, home binary, visitors binary").groupBy("cell").applyInArrow(pairs, "print int, a long, b long, d int")
 
 
 def shingle_sets(keys: DataFrame, docs: DataFrame, words: int, text_col: str = "text") -> DataFrame:
@@ -378,15 +396,16 @@ def _named(nodes: DataFrame, key: str, edges: DataFrame, scratch: Scratch) -> Da
     return whole.join(least, "component").select(key, "first")
 
 
-def near_copies(docs: DataFrame, similar: float = 0.8, shingle: int = 5, words: int = 3, radius: int = 7, prints: int = 2, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+def near_copies(docs: DataFrame, similar: float = 0.8, shingle: int = 5, words: int = 3, radius: int = 7, prints: int = 2, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, scratch: Scratch | None = None) -> DataFrame:
     """One row per input row: doc_id, component_id, kept, row; linked are texts whose sets of shingles are `similar` or more.
 
     Candidates are texts that agree to `radius` bits in one of `prints` independent fingerprints. Each candidate
     pair is verified in full, unless verified links connect its texts already. kept is true for one row of each
     component, that of the smallest id (of these, of the smallest row_col, a number that no other row has; without
-    row_col all rows of that id and component are kept). The other terms are those of near_groups.
+    row_col all rows of that id and component are kept). The result reads tables in scratch, which the caller may
+    clear afterwards. The other terms are those of near_groups.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near")
+    spark, scratch = docs.sparkSession, scratch or Scratch(docs.sparkSession, "near")
     rows = scratch.table(fingerprints(docs, words, prints, id_col, text_col, row_col), "fingerprints")
     names = [f"fp{k}" for k in range(prints)]
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")  # null ids come last
@@ -400,14 +419,14 @@ def near_copies(docs: DataFrame, similar: float = 0.8, shingle: int = 5, words:
     pairs = scratch.table(linked.union(equal).groupBy("a", "b").agg(F.min("d").alias("d"), F.count("*").alias("prints")), "pairs")
     sets = scratch.table(shingle_sets(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), docs, shingle, text_col), "sets")
     # groups that candidate pairs connect, and their parts that verified ones do
-    groups = components(pairs.select("a", "b"), Scratch(docs.sparkSession, "near-groups")).select(F.col("node").alias("key"), F.col("component").alias("grp"))
+    groups = components(pairs.select("a", "b"), scratch.below("groups")).select(F.col("node").alias("key"), F.col("component").alias("grp"))
     state = sets.select("key", F.size("shingles").alias("n"), F.col("key").alias("part")).join(texts.select("key", *names), "key").join(groups, "key")
     state = scratch.table(state.join(groups.groupBy("grp").agg(F.count("*").alias("members")), "grp"), "state0")
 
     def merged(state: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
         """state with parts joined that those of the pairs (a, b, part_a, part_b) which are alike connect."""
         found = verified(scratch.table(pairs, f"pairs{k}"), sets, similar)
-        joined = components(found.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")), Scratch(docs.sparkSession, "near-parts")).withColumnRenamed("node", "part")
+        joined = components(found.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")), scratch.below("parts")).withColumnRenamed("node", "part")
         return scratch.table(state.join(joined, "part", "left").withColumn("part", F.coalesce("component", "part")).drop("component"), f"state{k + 1}")
 
     best = F.struct("d", (-F.col("prints")).alias("prints"), "a", "b").alias("pair")

@@ -4,6 +4,8 @@ import collections
 import hashlib
 import random
 import re
+import time
+from pathlib import Path
 
 import duckdb
 import public_tokenizers
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stratagrid.llm import bpe, decontaminate, queries, toxicity
+from stratagrid.llm.common import Scratch, shared_dir
 from stratagrid.llm.simhash import _mixed, fingerprint_of, shingle_hashes
 
 from .test_operators import edit_distance_within
@@ -104,3 +107,37 @@ def test_kept_rows_are_found_without_moving_texts(spark, monkeypatch):
             assert ("hashpartitioning" in kept._jdf.queryExecution().executedPlan().toString()) == moved
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_dedup_stages_leave_no_texts_in_scratch(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [" ".join(rng.randbytes(8).hex() for _ in range(200)) for _ in range(150)]
+    rows = [(i % 300, texts[i % 150]) for i in range(450)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    docs, shared = spark.read.parquet(f"{tmp_path}/docs"), Path(shared_dir(spark).removeprefix("file://"))
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        before = set(shared.iterdir())
+        assert sorted(map(tuple, stage(spark, docs, SF).collect())) == sorted(rows[:150])
+        left = sum(f.stat().st_size for d in set(shared.iterdir()) - before for f in d.rglob("*") if f.is_file())
+        assert left < 0.05 * sum(len(t) for _, t in rows)
+
+
+def test_rows_of_files_keep_their_numbers(spark, tmp_path):
+    path = f"{tmp_path}/a b%20c"
+    spark.range(0, 500, 1, 5).selectExpr("id % 7 AS doc_id", "CAST(id AS string) AS row_path").write.parquet(path)
+    whole = spark.read.parquet(path)
+    for docs, rows, stored in ((whole, 500, True), (spark.read.parquet(path, path), 1000, False), (whole.where("doc_id > 2"), 284, False), (whole.union(whole), 1000, False)):
+        found, row = corpus_pipeline._numbered(spark, docs)
+        assert corpus_pipeline._stored(docs) == stored and found.columns == ["doc_id", "row_path", row]
+        first = sorted(map(tuple, found.collect()))
+        assert len({r[-1] for r in first}) == len(first) == rows and first == sorted(map(tuple, found.repartition(3).collect()))
+
+
+def test_shuffle_files_go_with_their_write(spark):
+    files = lambda: {f for f in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = files()
+    counted = Scratch(spark, "cleaning").table(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "counts")
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and sorted(map(tuple, counted.collect())) == [(k, 100) for k in range(10)]
