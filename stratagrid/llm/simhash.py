@@ -37,8 +37,8 @@ SEED = 42
 LEAF_AIM, LEAF_MOST, LEAF_SAMPLE = 1024, 2048, 16
 #: Shards of a tree: fingerprints / LEAF_AIM to this power.
 CELL_POWER = 0.65
-#: Fingerprints that a task deals to shards at a time.
-DEALT = 1 << 17
+#: Fingerprints that a task deals to shards at a time, some 10 MB of memory.
+DEALT = 1 << 15
 #: Comparisons at a time, and pairs that a leaf holds beside a spanning forest before they join it.
 PAIRS_MOST = 1 << 18
 #: Texts of a group of candidates whose pairs are all looked at; in larger groups, those with a rare shingle in common.
